@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, quality_rules, simhash, warc
+from foliant.llm import bpe, decontaminate, quality_rules, secrets, simhash, url_filter, warc
 from foliant.llm.common import documents, shared_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failed_bits")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: Host with path prefix, and what it decides.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed hosts, in place of a feed of them, are all hosts of the corpus whose first label is blog."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    feed = pages.select(url_filter.host_of(F.col("url")).alias("key")).where(F.col("key").startswith("blog.")).distinct()
+    return url_filter.judge(pages, URL_RULES, feed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,7 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op8_secret_scan": op8_secret_scan,
     "op10_warc": op10_warc,
 }
 
@@ -63,6 +85,20 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 10 * n_words THEN 32 ELSE 0 END
   + CASE WHEN n_upper > n_lower THEN 64 ELSE 0 END)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b""",
+    "op3_decontamination": r"""
+WITH s AS (SELECT item_id AS id, 0 AS side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+  UNION ALL SELECT doc_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM documents),
+g AS (SELECT DISTINCT id, side, array_to_string(w[i:i+4], ' ') AS g FROM s, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+q AS (SELECT id, count(*) AS n FROM g WHERE side = 0 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(q.n) AS n_shingles, count(*) AS n_shared FROM g AS b JOIN g AS d ON b.g = d.g AND b.side = 0 AND d.side = 1 JOIN q ON q.id = b.id
+GROUP BY ALL HAVING 5 * count(*) >= 4 * any_value(q.n)""",
+    "op7_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, act) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+f AS (SELECT p.*, (SELECT max_by(struct_pack(rule := rule, act := act), length(rule)) FROM rules
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))) AS m FROM p)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.act, CASE WHEN starts_with(host, 'blog.') THEN 'block' ELSE 'allow' END) AS verdict, starts_with(host, 'blog.') AS listed FROM f""",
     "op10_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS s, h FROM p),
