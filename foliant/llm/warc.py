@@ -1,13 +1,14 @@
 """WARC archives: writing, reading back, and resolving repeated payloads to revisit records.
 
 Archives are plain WARC/1.1 bytes, written and read by Spark's own sources, so
-any store that Spark reaches will do and lost tasks are simply run again. Only
-headers are shuffled by payload digest; a payload is not moved until it is
-written. A null payload counts as empty.
+any store that Spark reaches will do and lost tasks are simply run again. The
+first record of each payload is found from headers alone, combined before they
+are shuffled by digest; a payload moves once, with its record, to be written. A null payload counts as empty.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,15 +92,17 @@ def record_text(r: DataFrame, date: str = DATE) -> Column:
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
-    """Write the records, as UTF-8, to archive files of FILE_RECORDS records at most under `path`.
+    """Write the records, as UTF-8, to gzipped archive files of FILE_RECORDS records at most under `path`.
 
     Spark's text writer ends each value with `lineSep`, which is the end of a WARC record.
     """
-    resolved.select(record_text(resolved, date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    resolved.select(record_text(resolved, date).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive."""
+    """(header fields by lower-case name, block) of each record of an archive, gzipped or not."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
