@@ -30,8 +30,8 @@ CHUNK = 1 << 16
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 200_000
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("ids_text", pa.string()), ("decoded", pa.binary())])
-_DDL = {"doc_id": "doc_id long", "n_tokens": "n_tokens long", "token_ids": "token_ids array<int>", "ids_text": "ids_text string", "decoded": "decoded binary"}
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("ids_text", pa.string()), ("decoded", pa.binary()), ("decoded_ok", pa.bool_())])
+_DDL = {"doc_id": "doc_id long", "n_tokens": "n_tokens long", "token_ids": "token_ids array<int>", "ids_text": "ids_text string", "decoded": "decoded binary", "decoded_ok": "decoded_ok boolean"}
 
 
 class Codec:
@@ -117,7 +117,8 @@ def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str =
     """doc_id, n_tokens and the columns named in `outputs` for every row.
 
     token_ids: the ids; ids_text: the ids in decimal, joined by commas;
-    decoded: the bytes that the ids stand for. `rank_file` is a path on every
+    decoded: the bytes that the ids stand for; decoded_ok: whether they are the
+    text's. `rank_file` is a path on every
     worker. Null text: as an empty one. Null ids and repeated rows are kept.
     """
     names = ["doc_id", "n_tokens", *outputs]
@@ -136,8 +137,10 @@ def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str =
                     elif name == "ids_text":
                         decimal = c.decimal
                         row.append(",".join([decimal[i] for i in ids]))
-                    else:
+                    elif name == "decoded":
                         row.append(c.decode(ids))
+                    else:
+                        row.append(c.decode(ids) == (raw or b""))
                 yield tuple(row)
 
         yield from batched(rows(), schema, lambda row: 10 * row[1])

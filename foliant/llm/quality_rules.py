@@ -8,7 +8,10 @@ has no words: it fails too_few_words.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +104,20 @@ def apply_policy(led: DataFrame, policy: str = "v1") -> DataFrame:
     return led.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def filter_rows(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns as they are, that the policy keeps; measured in place, without a join."""
+    condition = " OR ".join(f"({rule})" for name, rule in RULES if name in POLICIES[policy])
+
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t or b"") for t in texts], columns=MEASURES)
+
+    text = F.coalesce(df[text_col].cast("string").cast("binary"), F.lit(b""))
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("__row"), measured(text).alias("__m"))
+    kept = rows.where(F.expr(f"NOT ({re.sub(r'(n_[a-z_]+|word_chars)', r'__m.' + chr(92) + '1', condition)})"))
+    return kept.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns))
+
+
 def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of the policy: rule, n_failed, n_only (fail it alone), n_kept_without (kept if the rule were dropped).
 

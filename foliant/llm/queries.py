@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontaminate, passages, quality_rules, secrets, simhash, url_filter, warc
+from foliant.llm import bpe, decontaminate, lm_score, ordinal, passages, quality_rules, secrets, simhash, url_filter, warc
 from foliant.llm.common import documents, shared_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = ordinal.classify(documents(spark, sf_dir), labels)
+    return found.select("doc_id", "expected_grade", F.col("tail")[0].alias("p_not_toxic"), F.col("tail")[1].alias("p_good"), "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,15 +71,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which itself imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_score": op4_lm_score,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 #: Words as in the queries.
