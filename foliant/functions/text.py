@@ -11,6 +11,17 @@ MISREAD, MEANT = "OoDSBlIiY", "00058111¥"
 NOISE = r"[★☆※*•·●⊙◎¤■◆◇▪▎▏▍▌▋▊▉|｜~`^_=+<>《》〈〉【】\[\]{}（）()]"
 NUMBER = r"[-+]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
 CURRENCY = "(?:¥|RMB|CNY)"
+# Chinese numerals with their variants, and their units as powers of ten.
+NUMERALS, DIGITS = "零壹贰叁肆伍陆柒捌玖〇一二三四五六七八九", "01234567890123456789"
+VARIANTS, PLAIN = "十百千萬億毛圆", "拾佰仟万亿角元"
+POWERS = {"拾": 1, "佰": 2, "仟": 3, "万": 4, "亿": 8}
+# Words that lead in an address or a bank, and those that end an address.
+ADDRESS_LEAD = r"(?U)^\s*(地址|单位地址|购方地址|销方地址|地址、电话)[:：]?\s*"
+ADDRESS_END = "电话|开户行|账号|银行|Bank"
+BANK_LEAD = r"(?U)^\s*(开户行及账号|开户行|账号|银行)[:：]?\s*"
+# Type codes and their names.
+TYPE_NAMES = {"01": "增值税专用发票", "04": "增值税普通发票", "08": "增值税电子专用发票", "10": "增值税电子普通发票", "31": "电子发票（增值税专用发票）", "32": "电子发票（增值税普通发票）", "": "未识别的发票"}
+TOLL = "增值税电子普通发票（通行费）"
 
 
 def _all(s: Column, pattern: str) -> Column:
@@ -78,10 +89,11 @@ def amount(s: Column) -> Column:
 
 
 def page(s: Column) -> Column:
-    """x/y of 第x页/共y页, else of the first two numbers, else -1/-1."""
-    s = F.translate(_text(s), "lIi", "111")
-    both = F.regexp_extract_all(s, F.lit(r"([0-9]+)"), F.lit(1))
-    named = F.concat(F.regexp_extract(s, "第(.*)页/共(.*)页", 1), F.lit("/"), F.regexp_extract(s, "第(.*)页/共(.*)页", 2))
+    """x/y of 第x页/共y页 (1 for a missing number), else of the first two numbers, else -1/-1."""
+    s = F.translate(_text(s), "|Il", "111")
+    both = F.regexp_extract_all(s, F.lit(r"(-?[0-9]\p{Nd}*)"), F.lit(1))
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(s, "第(.*)页/共(.*)页", k), F.lit("")), F.lit("1"))
+    named = F.concat(part(1), F.lit("/"), part(2))
     return F.when(s.rlike("第(.*)页/共(.*)页"), named).when(F.size(both) >= 2, F.concat(both[0], F.lit("/"), both[1])).otherwise("-1/-1")
 
 
@@ -136,8 +148,8 @@ def label_path(s: Column) -> Column:
 def full_date(s: Column, as_of: Column) -> Column:
     """YYYY年MM月DD日 of the digits of s, led in by those of as_of where short; s itself if that is no date."""
     s = _text(s)
-    bare = F.regexp_replace(F.regexp_replace(s, NOISE, ""), "[年月日]", "")
-    digits = _all(F.translate(bare, "lIi", "111"), r"-?[0-9]\p{Nd}*")
+    bare = F.translate(F.translate(s, WIDE + "年月日号 \t\n", NARROW), MISREAD, MEANT)
+    digits = _all(F.regexp_replace(F.regexp_replace(bare, NOISE, ""), r"(?U)\s+", ""), r"-?[0-9]\p{Nd}*")
     today = F.date_format(as_of, "yyyyMMdd")
     padded = F.when(F.length(digits) < 8, F.concat(today.substr(F.lit(1), 8 - F.length(digits)), digits)).otherwise(digits)
     parsed = F.when(padded.rlike("^[0-9]{8}$"), F.try_to_date(padded, "yyyyMMdd"))
@@ -156,3 +168,124 @@ def decode_payload(s: Column) -> Column:
 
 def html_row(cells: Column, tag: str = "td") -> Column:
     return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), F.coalesce(c, F.lit("")), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+
+
+def strip(s: Column, extra: str = "") -> Column:
+    """Without white space (or, if given, the characters in extra) at either end."""
+    kind = f"[{extra}]" if extra else r"\s"
+    return F.regexp_replace(_text(s), f"(?U)^{kind}+|{kind}+$", "")
+
+
+def chinese_amount(s: Column) -> Column:
+    """The amount that Chinese numerals spell.
+
+    Each unit takes the last digit since the unit before it, 1 if that is 0 or missing; large
+    units do not multiply what stands before their digit. Between the first and second sign for
+    yuan stand tenths and hundredths, up to a closing word.
+    """
+    parts = F.split(F.translate(F.translate(_text(s), VARIANTS, PLAIN), NUMERALS + "0123456789", DIGITS), "元")
+    whole, rest = parts[0], F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "(?s)^[^整正]*", 0)
+    units = "".join(POWERS)
+    digit = lambda x: F.coalesce(F.regexp_extract(x, "(?s)^.*([0-9])", 1).try_cast("long"), F.lit(0).cast("long"))
+    size = F.create_map(*(F.lit(v) for unit, power in POWERS.items() for v in (unit, 10**power)))
+    spans = lambda x, ends: F.regexp_extract_all(x, F.lit(f"(?s)[^{ends}]*[{ends}]"), F.lit(0))
+    total = F.aggregate(spans(whole, units), F.lit(0).cast("long"), lambda n, x: n + F.greatest(digit(x), F.lit(1)) * F.element_at(size, F.right(x, F.lit(1))))
+    cents = F.aggregate(spans(rest, "角分"), F.lit(0).cast("long"), lambda n, x: n + digit(x) * F.when(x.endswith("角"), 10).otherwise(1))
+    return money(total + digit(F.regexp_extract(whole, f"(?s)[^{units}]*$", 0)) + cents / 100)
+
+
+def _even(s: Column, lead: str) -> Column:
+    """Without the leading words and noise, separators and white space made one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, lead, ""), NOISE, ""), "[，,;；]+", "，"), r"(?U)\s+", " ")
+
+
+def address(s: Column) -> Column:
+    """An address up to the next field's name."""
+    body = F.regexp_extract(F.regexp_replace(_text(s), ADDRESS_LEAD, ""), f"(?s)^(.*?)(?:{ADDRESS_END}|$)", 1)
+    return strip(_even(body, "^(?!)"), " ，;；")
+
+
+def bank(s: Column) -> Column:
+    """A bank's name and, after a space, all digits as the account; either alone where the other is missing."""
+    even = strip(_even(_text(s), BANK_LEAD), " ，;；")
+    account = F.regexp_replace(even, r"(?U)[^\d]", "")
+    name = strip(F.regexp_extract(even, r"(?Us)^[^\d]*", 0), " ,;")
+    return F.when((account != "") & (name != ""), F.concat(name, F.lit(" "), account)).when(account != "", account).otherwise(strip(even))
+
+
+def _narrow_marks(s: Column) -> Column:
+    return F.translate(strip(s), "：，；", ":,;")
+
+
+def cleaners(kind: str, as_of: Column) -> dict[str, object]:
+    """Label to function for a kind of document: vat, bill, stock or stock2; labels not named are only stripped."""
+    code, day = lambda s: F.right(numbers(s), F.lit(12)), lambda s: full_date(s, as_of)
+    if kind == "vat":
+        each = {"invoice_number": numbers, "invoice_number2": numbers, "invoice_code": code, "invoice_code2": code, "bill_date": day, "total": amount, "amount_with_tax": amount, "tax": amount, "check_code": _text, "check_code2": _text}
+        sides = {"tax": lambda s: tax_code(strip(s)), "title": lambda s: title(strip(s)), "addr": lambda s: address(_narrow_marks(s)), "bank": lambda s: bank(_narrow_marks(s))}
+        return each | {f"{side}_{what}": f for side in ("buy", "sale") for what, f in sides.items()}
+    if kind == "bill":
+        return {"invoice_number": numbers, "invoice_code": code, "bill_date": day, "total": amount, "amount_with_tax": amount, "buy_title": title, "sale_title": title}
+    shared = {"total": amount, "total2": amount, "idate": day, "doc_number": numbers, "page": page}
+    return shared | ({"total3": chinese_amount, "cnt": numbers} if kind == "stock" else {})
+
+
+def field_text(kind: str, label: Column, s: Column, as_of: Column) -> Column:
+    """Recognised text cleaned by its label; seals of vat and bill documents are only told to be there."""
+    out = strip(s)
+    if kind in ("vat", "bill"):
+        out = F.when(label.startswith("seal_"), "detected").otherwise(out)
+    for name, clean in cleaners(kind, as_of).items():
+        out = F.when(label == name, clean(s)).otherwise(out)
+    return out
+
+
+def title_type(title_: Column) -> Column:
+    """Type code by the older rule, which knows toll invoices; null where no rule fits."""
+    t = _text(title_)
+    by = lambda yes, no: F.when(t.contains("电子"), yes).otherwise(no)
+    return F.when(t.contains(TOLL), "14").when(t.contains("普通发票"), by("10", "04")).when(t.contains("专用发票"), by("08", "01"))
+
+
+def type_name(code: Column) -> Column:
+    """The name of a type code; null for codes without one."""
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in TYPE_NAMES.items() for v in pair)), _text(code))
+
+
+def is_ascii(s: Column) -> Column:
+    return ~_text(s).rlike(r"[^\x00-\x7F]")
+
+
+def is_chinese(s: Column) -> Column:
+    return _text(s).rlike(r"[\u4e00-\u9fff]")
+
+
+def is_url(s: Column) -> Column:
+    return _text(s).rlike("(?i)^(rtsp|rtmp|https?)://")
+
+
+def url_file(s: Column) -> Column:
+    """The file name of an address, unquoted, without its query; what can't be unquoted stays as it is."""
+    plain = F.coalesce(F.try_url_decode(F.replace(_text(s), F.lit("+"), F.lit("%2B"))), _text(s))
+    return F.split_part(F.regexp_extract(plain, "(?s)([^/]*)/*$", 1), F.lit("?"), F.lit(1))
+
+
+def listing_hash(paths: Column, sizes: Column) -> Column:
+    """MD5 of the files' total size and their paths, in the given order."""
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return F.md5(F.concat(total.cast("string"), F.array_join(paths, "")).cast("binary"))
+
+
+def points_text(points: Column) -> Column:
+    """A polygon's coordinates, separated by tabs."""
+    return F.array_join(F.flatten(points).cast("array<string>"), "\t")
+
+
+def first_filled(*readings: Column) -> Column:
+    """Of several engines' readings the first that is not blank, else empty."""
+    return F.coalesce(*(F.when(strip(r) != "", r) for r in readings), F.lit(""))
+
+
+def listed(s: Column) -> Column:
+    """Numbers separated by slashes as an enumeration."""
+    return F.translate(_text(s), "/", "、")

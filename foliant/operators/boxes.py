@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ def best_matches(found: DataFrame, detection: Sequence[str], truth: Sequence[str
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last row of each key in the given total order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(o.desc() for o in order)))).where("__n = 1").drop("__n")
+    """The last row of each key in the given total order; rows are reduced before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*(F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns))
 
 
 def _fold(s: Column, clash) -> Column:
@@ -68,3 +70,51 @@ def greedy_match(found: DataFrame, key: str, left: str, right: str) -> DataFrame
     rows = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), F.col(left).alias("a"), F.col(right).alias("b"))))
     kept = _fold(F.col("__s"), lambda k, x: (k["a"] == x["a"]) | (k["b"] == x["b"]))
     return found.groupBy(key).agg(rows.alias("__s")).select(key, F.explode(kept).alias("m")).select(key, F.col("m.a").alias(left), F.col("m.b").alias(right), (-F.col("m.neg")).alias("iou"))
+
+
+def quad_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """pairs() for quads, given as points: the overlap ratio of convex hulls. Only pairs whose bounds overlap reach Python, in Arrow batches."""
+    a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
+    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    found = a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & g.overlaps(g.bounds(F.col("l_points")), g.bounds(F.col("r_points"))))
+    return found.withColumn("iou", _quad_iou()("l_points", "r_points")).where(F.col("iou") > least)
+
+
+def _quad_iou():
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([g.polygon_iou(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
+
+
+def nearest_line(cells: DataFrame, lines: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """Cells with the idx of the nearest line of their table by centre `at`, the least idx on a tie; null without lines.
+
+    A table's lines travel as one array, so cells meet them without pairs.
+    """
+    of = lines.groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct(F.col(at).alias("at"), F.col("idx").alias("idx"))).alias("__lines"))
+    best = F.array_min(F.transform("__lines", lambda x: F.struct(F.abs(x["at"] - F.col(at)).alias("far"), x["idx"].alias("idx"))))
+    return cells.join(of, F.col(key) == F.col("__key"), "left").withColumn(name, best["idx"]).drop("__key", "__lines")
+
+
+def merged(kept: DataFrame, all_boxes: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Kept boxes moved to the mean, weighted by confidence, of all boxes of their page and class that overlap them."""
+    found = pairs(kept, all_boxes, key, threshold).where("l_cls = r_cls")
+    mean = [(F.sum(F.col(f"r_{c}") * F.col("r_conf")) / F.sum("r_conf")).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    rest = [c for c in kept.columns if c not in ("x1", "y1", "x2", "y2")]
+    return found.groupBy(*(F.col(f"l_{c}").alias(c) for c in rest)).agg(*mean)
+
+
+def labelled(df: DataFrame, scores: str, least: float) -> DataFrame:
+    """A row for each class whose score times objectness is over `least`: columns cls and conf."""
+    rest = [c for c in df.columns if c not in (scores, "obj")]
+    each = df.where(F.col("obj") > least).select(*rest, "obj", F.posexplode(scores).alias("cls", "__s"))
+    return each.select(*rest, "cls", (F.col("obj") * F.col("__s")).alias("conf")).where(F.col("conf") > least)
+
+
+def mask_iou(a: Column, b: Column) -> Column:
+    """Overlap ratio of two masks as flat arrays of 0 and 1."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda n, v: n + v)
+    inter = total(F.zip_with(a, b, lambda x, y: x * y))
+    return inter / (total(a) + total(b) - inter + g.EPS)

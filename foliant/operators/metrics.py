@@ -1,19 +1,98 @@
-"""Scores over detections: running precision and recall, confusion, weights, best rows."""
+"""Scores over detections: running precision and recall, average precision, confusion, weights, histograms, series."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import text as t_
+from foliant.operators import boxes, ranking
+
+
+def running_precision(df: DataFrame, cls: str, order: list[Column], n_true: Column, coarse: list[Column] | None = None) -> DataFrame:
+    """By falling confidence: tp_sum, fp_sum, precision, recall and envelope (the greatest precision from here on).
 
-def running_precision(df: DataFrame, cls: str, order: list[Column], n_true: Column) -> DataFrame:
-    """By falling confidence: tp_sum, fp_sum, precision, recall and envelope (the greatest precision from here on)."""
-    w = Window.partitionBy(cls).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    Without `coarse` a class is one window. With it, expressions that rise with
+    the order split a class into steps, so that no task holds all of it.
+    """
+    stepped, by = ranking.steps(df, [cls], coarse or [F.lit(0)])
+    own = [c for c in by if c != cls]
+    if coarse:
+        out = ranking.joined(stepped, ranking.before(stepped, [cls], by, {"__t": F.sum("tp"), "__f": F.sum(1 - F.col("tp"))}), by)
+    else:
+        out = stepped.withColumn("__t", F.lit(0)).withColumn("__f", F.lit(0))
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # A frame to the end is made anew for each row; the same rows from the end are one running frame.
-    after = Window.partitionBy(cls).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__n", F.row_number().over(w)).withColumn("tp_sum", F.sum("tp").over(w)).withColumn("fp_sum", F.sum(1 - F.col("tp")).over(w))
+    after = Window.partitionBy(*by).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("__n", F.row_number().over(w)).withColumn("tp_sum", F.col("__t") + F.sum("tp").over(w)).withColumn("fp_sum", F.col("__f") + F.sum(1 - F.col("tp")).over(w))
     out = out.withColumn("precision", F.col("tp_sum") / (F.col("tp_sum") + F.col("fp_sum"))).withColumn("recall", F.col("tp_sum") / n_true)
-    return out.withColumn("envelope", F.max("precision").over(after)).drop("__n")
+    out = out.withColumn("envelope", F.max("precision").over(after)).drop("__n", "__t", "__f")
+    if coarse:
+        best = out.groupBy(*by).agg(F.max("precision").alias("__p"))
+        later = Window.partitionBy(cls).orderBy(*(F.desc(c) for c in own)).rowsBetween(Window.unboundedPreceding, -1)
+        out = ranking.joined(out, best.select(*by, F.max("__p").over(later).alias("__later")), by)
+        out = out.withColumn("envelope", F.greatest("envelope", "__later")).drop("__later")  # null beside a number counts as none
+    return out.drop(*own)
+
+
+def average_precision(curve: DataFrame, cls: str, n_true: DataFrame) -> DataFrame:
+    """cls, n_true, tp, ap of running_precision()'s rows: the envelope over recall by 101 points and trapezoids.
+
+    n_true has cls and n_true; classes without detections have 0. Between two
+    correct detections the envelope is a straight line, so each one adds the sum of a line
+    over the points it passes and no point is made a row. Beyond the last one the
+    line falls to 0 at recall 1. Points and recalls are compared as fractions.
+    """
+    rows = curve.join(n_true, cls, "right").withColumn("__hit", F.coalesce(F.col("tp") == 1, F.lit(False)))
+    t, n = F.col("tp_sum"), F.col("n_true")
+    earlier = F.when(t > 1, (t - 1) / (t - 1 + F.col("fp_sum"))).when(F.col("fp_sum") == 0, 1.0).otherwise(0.0)
+    left = F.greatest(earlier, F.col("envelope"))
+    up = lambda x: F.floor((100 * x + n - 1) / n)
+    low, high = up(t - 1), up(t) - 1
+    line = lambda a, b, r0, r1, lo, hi: F.when(hi >= lo, (hi - lo + 1) * (a + ((lo + hi) / 200 - r0) / (r1 - r0) * (b - a))).otherwise(0.0)
+    found = rows.groupBy(cls, "n_true").agg(
+        F.sum(F.when(F.col("__hit"), line(left, F.col("envelope"), (t - 1) / n, t / n, low, high))).alias("__sum"),
+        F.max(F.when(F.col("__hit") & (t == 1), left)).alias("__first"), F.coalesce(F.max("tp_sum"), F.lit(0)).alias("tp"), F.count("tp").alias("__n"),
+    )
+    last, reach = F.col("tp") / F.col("__n"), F.col("tp") / n
+    tail = F.when(F.col("tp") < n, line(last, F.lit(0.0), reach, F.lit(1.0), up(F.col("tp")), F.lit(99))).otherwise(0.0)
+    ap = F.when(F.col("tp") > 0, (F.col("__sum") + tail - F.col("__first") / 2) / 100).otherwise(0.0)
+    return found.select(cls, "n_true", "tp", ap.alias("ap"))
+
+
+def confusion(detections: DataFrame, truth: DataFrame, key: str, det: Sequence[str], gt: Sequence[str], conf: float = 0.25, iou: float = 0.45) -> DataFrame:
+    """pred, true, n over pages; null stands for the background.
+
+    det and gt name a row on its page. Unmatched ones are what is left of a class's count. Detections
+    of pages without any match are not counted.
+    """
+    seen = detections.where(F.col("conf") > conf)
+    best = boxes.best_matches(boxes.pairs(seen, truth, key, iou), [f"l_{key}", *(f"l_{c}" for c in det)], [f"r_{key}", *(f"r_{c}" for c in gt)])
+    hits = best.select(F.col(f"l_{key}").alias(key), F.col("l_cls").alias("pred"), F.col("r_cls").alias("true"))
+    none, one, less = F.lit(None).cast(truth.schema["cls"].dataType), F.lit(1), F.lit(-1)
+    pages = hits.select(key).distinct()
+    parts = [
+        hits.select("pred", "true", one.alias("n")), hits.select(none.alias("pred"), "true", less.alias("n")), hits.select("pred", none.alias("true"), less.alias("n")),
+        truth.select(none.alias("pred"), F.col("cls").alias("true"), one.alias("n")), seen.join(pages, key, "left_semi").select(F.col("cls").alias("pred"), none.alias("true"), one.alias("n")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("pred", "true").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def right_and_wrong(matrix: DataFrame) -> DataFrame:
+    """cls, tp, fp of a confusion matrix."""
+    return matrix.where("pred IS NOT NULL").groupBy(F.col("pred").alias("cls")).agg(F.sum(F.when(F.col("pred").eqNullSafe(F.col("true")), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("pred").eqNullSafe(F.col("true")), 0).otherwise(F.col("n"))).alias("fp"))
+
+
+def matches_at(found: DataFrame, detection: Sequence[str], truth: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """Matches at each IoU threshold, with a column threshold; the pairs are made once."""
+    each = found.withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in thresholds)))).where(F.col("iou") > F.col("threshold"))
+    return boxes.best_matches(each, ["threshold", *detection], ["threshold", *truth])
 
 
 def class_weights(df: DataFrame, cls: str) -> DataFrame:
@@ -33,3 +112,92 @@ def patience(df: DataFrame, series: str, step: str, value: str) -> DataFrame:
     w = Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     best = df.withColumn("best", F.max(value).over(w))
     return best.withColumn("since", F.col(step) - F.max(F.when(F.col(value) >= F.col("best"), F.col(step))).over(w))
+
+
+def image_weights(df: DataFrame, key: str, cls: str) -> DataFrame:
+    """key and weight: the weights of an image's instances added up."""
+    counts = df.groupBy(key, cls).agg(F.count("*").alias("__n"))
+    return counts.join(class_weights(df, cls).select(cls, F.col("weight").alias("__w")), cls).groupBy(key).agg(F.sum(F.col("__w") * F.col("__n")).alias("weight"))
+
+
+def summary(df: DataFrame, key: str, cls: str) -> DataFrame:
+    """key and summary: an image's classes with their counts, as in `3 cats, 1 dog`."""
+    counts = df.groupBy(key, cls).agg(F.count("*").alias("n"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct(cls, "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x[cls].cast("string"), F.when(x["n"] > 1, "s").otherwise("")))
+    return counts.groupBy(key).agg(F.array_join(words, ", ").alias("summary"))
+
+
+def fitness(precision: Column, recall: Column, map50: Column, map_: Column) -> Column:
+    """A model's figure of merit; precision and recall have no weight."""
+    return precision * 0.0 + recall * 0.0 + map50 * 0.1 + map_ * 0.9
+
+
+def best_row(df: DataFrame, value: str, step: str) -> DataFrame:
+    """The row of the greatest value, the first on a tie."""
+    return df.agg(F.max_by(F.struct(*df.columns), F.struct(F.col(value), -F.col(step))).alias("r")).select("r.*")
+
+
+def smooth(df: DataFrame, series: str, step: str, value: str, n: int, share: float = 0.05) -> DataFrame:
+    """Moving mean (column smooth) over a share of the n rows of each series; the ends are carried on outwards."""
+    half = round(n * share * 2) // 2 // 2
+    w = Window.partitionBy(series).orderBy(step)
+    frame, up, down = w.rowsBetween(-half, half), w.rowsBetween(-half, 0), w.rowsBetween(0, half)
+    missing = lambda side: half + 1 - F.count("*").over(side)
+    total = F.sum(value).over(frame) + missing(up) * F.first(value).over(frame) + missing(down) * F.last(value).over(frame)
+    return df.withColumn("smooth", total / (2 * half + 1))
+
+
+def moving_average(df: DataFrame, series: str, step: str, value: str, decay: float = 0.9999, ramp: float = 2000) -> DataFrame:
+    """series, ema: the exponential average after all steps, whose decay grows towards `decay`. A series is one array."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(step, value))), lambda x: x[value].cast("double"))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("v"))
+    d = lambda k: decay * (1 - F.exp(-k / ramp))
+    add = lambda s, x: F.struct((s["k"] + 1).alias("k"), F.when(s["k"] == 0, x).otherwise(d(s["k"]) * s["v"] + (1 - d(s["k"])) * x).alias("v"))
+    return df.groupBy(series).agg(rows.alias("__v")).select(series, F.aggregate("__v", start, add)["v"].alias("ema"))
+
+
+def _bin(x: Column, low: Column, high: Column, n: int) -> Column:
+    return F.when(high == low, 0).otherwise(F.least(F.floor((x - low) * n / (high - low)), F.lit(n - 1))).cast("long")
+
+
+def _ranged(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    ends = df.agg(*(f(v).alias(f"__{name}_{v}") for v in values for name, f in (("low", F.min), ("high", F.max))))  # one row
+    return df.join(F.broadcast(ends))
+
+
+def histogram(df: DataFrame, value: str, n: int) -> DataFrame:
+    """bin and count of n equal bins from least to greatest; the last holds its right end."""
+    found = _ranged(df.select(value).where(F.col(value).isNotNull()), [value])
+    return found.groupBy(_bin(F.col(value), F.col(f"__low_{value}"), F.col(f"__high_{value}"), n).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def histogram2d(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
+    """bin_x, bin_y, n and log_n of the filled cells of an n by n grid."""
+    found = _ranged(df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y])
+    at = lambda v: _bin(F.col(v), F.col(f"__low_{v}"), F.col(f"__high_{v}"), n)
+    return found.groupBy(at(x).alias("bin_x"), at(y).alias("bin_y")).agg(F.count("*").alias("n")).withColumn("log_n", F.ln("n"))
+
+
+def end_to_end(truth: DataFrame, read: DataFrame, key: str, least: float = 0.5, quads: bool = False, no_blanks: bool = False) -> DataFrame:
+    """One row of figures for read lines against true ones: hits, counts, edits, precision, recall, f, and per character, line and page.
+
+    truth has key, idx, text, ignored and read key, idx, text, with x1 to y2, or points if quads. Lines are matched one to
+    one by falling overlap of at least `least`. Matched texts are compared in half width; a line matched to an ignored one counts nowhere.
+    """
+    found = (boxes.quad_pairs if quads else boxes.pairs)(truth, read, key, math.nextafter(least, 0))
+    matched = boxes.greedy_match(found.withColumn(key, F.col(f"l_{key}")), key, "l_idx", "r_idx").drop("iou")
+    t = truth.select(key, F.col("idx").alias("l_idx"), F.col("text").alias("__t"), "ignored").join(matched, [key, "l_idx"], "left")
+    whole = t.join(read.select(key, F.col("idx").alias("r_idx"), F.col("text").alias("__r"), F.lit(1).alias("__read")), [key, "r_idx"], "full")
+    both = F.col("l_idx").isNotNull() & F.col("__read").isNotNull()
+    even = lambda c: F.when(both, F.replace(t_.half_width(F.col(c)), F.lit(" "), F.lit("")) if no_blanks else t_.half_width(F.col(c))).otherwise(F.coalesce(c, F.lit("")))
+    counted = whole.where("l_idx IS NULL OR NOT ignored").select(key, "l_idx", "__read", both.alias("__both"), even("__t").alias("a"), even("__r").alias("b"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    sums = counted.agg(
+        n(F.col("__both") & (F.col("a") == F.col("b"))).alias("hits"), n(F.col("__read").isNotNull()).alias("n_read"), n(F.col("l_idx").isNotNull()).alias("n_true"),
+        F.coalesce(F.sum(F.levenshtein("a", "b")), F.lit(0)).alias("edits"), F.coalesce(F.sum(F.when(F.col("l_idx").isNotNull(), F.length("a"))), F.lit(0)).alias("n_chars"),
+    )
+    pages = truth.agg(F.countDistinct(key).alias("n_pages"))  # one row
+    eps, out = 1e-9, sums.join(F.broadcast(pages))
+    p, r = F.col("hits") / (F.col("n_read") + eps), F.col("hits") / (F.col("n_true") + eps)
+    out = out.withColumns({"precision": p, "recall": r}).withColumn("f", 2 * p * r / (p + r + eps))
+    return out.withColumns({"char_accuracy": 1 - F.col("edits") / (F.col("n_chars") + eps), "edits_per_line": F.col("edits") / (F.col("n_true") + eps), "edits_per_page": F.try_divide(F.col("edits"), F.col("n_pages"))})
