@@ -24,7 +24,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, cls, x, y, w, h, valid of detector label files (five values, 0 to 1)."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.trim("value"), "\n")))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.trim("value"), "\n")))
     v = F.split(F.trim("col"), r"\s+")
     n = lambda k: F.get(v, F.lit(k)).try_cast("double")
     rows = raw.where("trim(col) <> ''").select("file", F.col("pos").alias("line_no"), F.size(v).alias("n"), n(0).cast("int").alias("cls"), *(n(k + 1).alias(c) for k, c in enumerate("xywh")))

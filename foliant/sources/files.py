@@ -42,7 +42,7 @@ def with_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
     """cls (from 0, in file order) and name of a class list, one name on each line."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("cls", "name"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("cls", "name"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +56,7 @@ def read_flat_lines(spark: SparkSession, path: str, truth: bool) -> DataFrame:
 
     Lines with too few parts are left out of true ones. The page is the file's name.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("page"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
+    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("page"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
     p = F.split(t.strip(F.col("line")), "\t")
     corners = F.array(*(F.array(*(F.get(p, F.lit(2 * k + j)).try_cast("double") for j in (0, 1))) for k in range(4)))
     at = 9 if truth else 8

@@ -34,7 +34,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("lineitem", "orders", "documents", "labels", "events", "pages", "conversations", "embeddings"):
+    for table in ("lineitem", "orders", "documents", "labels", "events", "pages", "conversations", "embeddings", "supplier"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     found = con.execute(ORACLES[name])
@@ -72,3 +72,9 @@ def test_annotations_round_trip(spark, tmp_path):
     assert [(r.image, r.line_no, r.text, r.score) for r in got.orderBy("line_no").collect()] == [("a.jpg", 0, "x", 0.5), ("a.jpg", 1, "y", None)]
     annotations.write_lines(got, str(tmp_path / "out"))
     assert sorted(annotations.read_lines(spark, str(tmp_path / "out")).collect()) == sorted(got.collect())
+
+
+def test_labels(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 0.5 0.5 0.1 0.1\n\n2 0.5 1.5 0.1 0.1\n3 0.5\n")
+    got = annotations.read_labels(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()
+    assert [(r.line_no, r.cls, r.valid) for r in got] == [(0, 1, True), (2, 2, False), (3, 3, False)]
