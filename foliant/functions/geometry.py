@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.binding import bound
+
 EPS = 1e-7
 Box = tuple[Column, Column, Column, Column]
 
@@ -152,11 +154,6 @@ def even_parity(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseXOR(x)) == 0
 
 
-def bound(value: Column, f) -> Column:
-    """f(value) with the value computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
 # Points: an array of (x, y) arrays.
 def _x(p: Column) -> Column:
     return F.element_at(p, 1)

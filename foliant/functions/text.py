@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.binding import bound
+
 # Characters and what recognition takes them for.
 WIDE, NARROW = "０１２３４５６７８９，．－﹣–—／。￥元圆", "0123456789,.----/.¥¥¥"
 MISREAD, MEANT = "OoDSBlIiY", "00058111¥"
@@ -60,7 +62,7 @@ def money(x: Column) -> Column:
 def float_amount(s: Column) -> Column:
     """The digits and points as an amount; a leading 0 before more is an 8 misread."""
     joined = _all(_text(s), r"-?[0-9]\p{Nd}*\.*")
-    fixed = F.when(joined.rlike("^-0."), F.regexp_replace(joined, "^-0", "-8")).when(joined.rlike("^0."), F.regexp_replace(joined, "^0", "8")).otherwise(joined)
+    fixed = F.regexp_replace(joined, "^(-?)0(?=.)", "$18")
     return money(F.coalesce(fixed.try_cast("double"), F.lit(0.0)))
 
 
@@ -72,16 +74,20 @@ def amount_value(s: Column) -> Column:
     tie. ASCII brackets or a trailing minus make it negative.
     """
     raw = _text(s)
-    clean = F.regexp_replace(F.translate(F.translate(raw, WIDE + " ", NARROW), MISREAD, MEANT), NOISE, "")
-    clean = F.regexp_replace(clean, r"(?U)\s+", "")
-    found = lambda pattern: F.filter(F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)), lambda x: F.translate(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
-    levels = [found(f"(?i){CURRENCY}\\s*({NUMBER})"), found(f"(?i)({NUMBER})(?=\\s*{CURRENCY})"), found(f"({NUMBER})")]
-    values = F.when(F.size(levels[0]) > 0, levels[0]).when(F.size(levels[1]) > 0, levels[1]).otherwise(levels[2])
-    last = F.try_element_at(values, F.lit(-1))
-    largest = F.aggregate(values, F.lit(None).cast("double"), lambda best, x: F.when(best.isNull() | (F.abs(x) > F.abs(best)), x).otherwise(best))
-    value = F.coalesce(F.when(F.abs(largest) != F.abs(last), largest).otherwise(last), F.lit(0.0))
-    negative = (raw.contains("(") & raw.contains(")")) | clean.rlike(r"-\s*$")
-    return F.when(negative & (value > 0), -value).otherwise(value)
+    tidy = F.regexp_replace(F.translate(F.translate(raw, WIDE + " ", NARROW), MISREAD, MEANT), NOISE, "")
+    bracketed = raw.contains("(") & raw.contains(")")
+
+    def number_of(clean: Column) -> Column:
+        found = lambda pattern: F.filter(F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)), lambda x: F.translate(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
+        levels = F.array(found(f"(?i){CURRENCY}\\s*({NUMBER})"), found(f"(?i)({NUMBER})(?=\\s*{CURRENCY})"), found(f"({NUMBER})"))
+        # Largest by size; the later one of equals.
+        largest = lambda xs: F.aggregate(xs, F.lit(None).cast("double"), lambda best, x: F.when(best.isNull() | (F.abs(x) > F.abs(best)), x).otherwise(best))
+        pick = lambda xs: bound(largest(xs), lambda top: F.coalesce(F.when(F.abs(top) != F.abs(F.try_element_at(xs, F.lit(-1))), top).otherwise(F.try_element_at(xs, F.lit(-1))), F.lit(0.0)))
+        values = bound(levels, lambda l: F.coalesce(F.get(F.filter(l, lambda x: F.size(x) > 0), F.lit(0)), F.array().cast("array<double>")))
+        negative = bracketed | clean.rlike(r"-\s*$")
+        return bound(bound(values, pick), lambda v: F.when(negative & (v > 0), -v).otherwise(v))
+
+    return bound(F.regexp_replace(tidy, r"(?U)\s+", ""), number_of)
 
 
 def amount(s: Column) -> Column:
@@ -90,7 +96,10 @@ def amount(s: Column) -> Column:
 
 def page(s: Column) -> Column:
     """x/y of 第x页/共y页 (1 for a missing number), else of the first two numbers, else -1/-1."""
-    s = F.translate(_text(s), "|Il", "111")
+    return bound(F.translate(_text(s), "|Il", "111"), _page)
+
+
+def _page(s: Column) -> Column:
     both = F.regexp_extract_all(s, F.lit(r"(-?[0-9]\p{Nd}*)"), F.lit(1))
     part = lambda k: F.coalesce(F.nullif(F.regexp_extract(s, "第(.*)页/共(.*)页", k), F.lit("")), F.lit("1"))
     named = F.concat(part(1), F.lit("/"), part(2))
@@ -151,8 +160,8 @@ def full_date(s: Column, as_of: Column) -> Column:
     bare = F.translate(F.translate(s, WIDE + "年月日号 \t\n", NARROW), MISREAD, MEANT)
     digits = _all(F.regexp_replace(F.regexp_replace(bare, NOISE, ""), r"(?U)\s+", ""), r"-?[0-9]\p{Nd}*")
     today = F.date_format(as_of, "yyyyMMdd")
-    padded = F.when(F.length(digits) < 8, F.concat(today.substr(F.lit(1), 8 - F.length(digits)), digits)).otherwise(digits)
-    parsed = F.when(padded.rlike("^[0-9]{8}$"), F.try_to_date(padded, "yyyyMMdd"))
+    padded = bound(digits, lambda d: F.when(F.length(d) < 8, F.concat(today.substr(F.lit(1), 8 - F.length(d)), d)).otherwise(d))
+    parsed = bound(padded, lambda d: F.when(d.rlike("^[0-9]{8}$"), F.try_to_date(d, "yyyyMMdd")))
     return F.when(s == "", s).otherwise(F.coalesce(F.date_format(parsed, "yyyy'年'MM'月'dd'日'"), s))
 
 
@@ -183,7 +192,10 @@ def chinese_amount(s: Column) -> Column:
     units do not multiply what stands before their digit. Between the first and second sign for
     yuan stand tenths and hundredths, up to a closing word.
     """
-    parts = F.split(F.translate(F.translate(_text(s), VARIANTS, PLAIN), NUMERALS + "0123456789", DIGITS), "元")
+    return bound(F.split(F.translate(F.translate(_text(s), VARIANTS, PLAIN), NUMERALS + "0123456789", DIGITS), "元"), _spelt)
+
+
+def _spelt(parts: Column) -> Column:
     whole, rest = parts[0], F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "(?s)^[^整正]*", 0)
     units = "".join(POWERS)
     digit = lambda x: F.coalesce(F.regexp_extract(x, "(?s)^.*([0-9])", 1).try_cast("long"), F.lit(0).cast("long"))
@@ -207,10 +219,12 @@ def address(s: Column) -> Column:
 
 def bank(s: Column) -> Column:
     """A bank's name and, after a space, all digits as the account; either alone where the other is missing."""
-    even = strip(_even(_text(s), BANK_LEAD), " ，;；")
-    account = F.regexp_replace(even, r"(?U)[^\d]", "")
-    name = strip(F.regexp_extract(even, r"(?Us)^[^\d]*", 0), " ,;")
-    return F.when((account != "") & (name != ""), F.concat(name, F.lit(" "), account)).when(account != "", account).otherwise(strip(even))
+
+    def split(even: Column) -> Column:
+        parts = F.struct(strip(F.regexp_extract(even, r"(?Us)^[^\d]*", 0), " ,;").alias("name"), F.regexp_replace(even, r"(?U)[^\d]", "").alias("account"))
+        return bound(parts, lambda p: F.when((p["account"] != "") & (p["name"] != ""), F.concat(p["name"], F.lit(" "), p["account"])).when(p["account"] != "", p["account"]).otherwise(strip(even)))
+
+    return bound(strip(_even(_text(s), BANK_LEAD), " ，;；"), split)
 
 
 def _narrow_marks(s: Column) -> Column:
@@ -236,7 +250,7 @@ def field_text(kind: str, label: Column, s: Column, as_of: Column) -> Column:
     if kind in ("vat", "bill"):
         out = F.when(label.startswith("seal_"), "detected").otherwise(out)
     for name, clean in cleaners(kind, as_of).items():
-        out = F.when(label == name, clean(s)).otherwise(out)
+        out = F.when(label == name, bound(s, clean)).otherwise(out)
     return out
 
 
