@@ -201,3 +201,8 @@ def end_to_end(truth: DataFrame, read: DataFrame, key: str, least: float = 0.5,
     p, r = F.col("hits") / (F.col("n_read") + eps), F.col("hits") / (F.col("n_true") + eps)
     out = out.withColumns({"precision": p, "recall": r}).withColumn("f", 2 * p * r / (p + r + eps))
     return out.withColumns({"char_accuracy": 1 - F.col("edits") / (F.col("n_chars") + eps), "edits_per_line": F.col("edits") / (F.col("n_true") + eps), "edits_per_page": F.try_divide(F.col("edits"), F.col("n_pages"))})
+
+
+def rates(steps: DataFrame, step: str, total: int, first: float = 1.0, last: float = 0.1) -> DataFrame:
+    """Rows with rate: half a cosine from first to last over `total` steps."""
+    return steps.withColumn("rate", (1 - F.cos(F.col(step) * F.pi() / total)) / 2 * (last - first) + first)

@@ -151,3 +151,8 @@ def test_engines(spark):
     got = engines.run(df, strict, ["s"], "struct<text:string,score:double>").orderBy("k").collect()
     assert [(r.success, r.result and r.result.text) for r in got] == [(True, "A"), (False, None), (True, "C")] and got[1].message == "KeyError: ''"
     assert [r.text for r in engines.read_text(df, [strict, other], ["s"]).orderBy("k").collect()] == ["A", "else", "C"]
+
+
+def test_rates(spark):
+    got = [r.rate for r in metrics.rates(spark.range(3).toDF("step"), "step", 2, 1.0, 0.1).orderBy("step").collect()]
+    assert got == pytest.approx([1.0, 0.55, 0.1])
