@@ -1,10 +1,17 @@
 """Masked pseudo-likelihood by a bidirectional window network, trained in numpy over the whole corpus.
 
-Tokens are lower-cased words hashed to BUCKETS numbers. The network sees the
-WINDOW words on either side of a masked one and gives the distribution of its
-class; classes are bands of equal mass in the order of frequency, and within a
-class a bucket has its corpus frequency. A document's score is the sum of the
-logarithms of all its words' conditional probabilities.
+Words are lower-cased and stay apart, whatever their number: word_counts() is a
+distributed table of all of them. Only the network's input and output are
+hashed to BUCKETS numbers. It sees the WINDOW words on either side of a masked
+one and gives the distribution of its class; classes are bands of equal mass in
+the order of frequency, within a class a bucket has its corpus frequency, and
+within a bucket a word has its own: P(word | bucket) = n(word) / n(bucket).
+A document's score is the sum of the logarithms of all its words' conditional
+probabilities.
+
+Words that make up 1 / SHARE of the corpus or more are broadcast, so at most
+SHARE words; all rarer ones are joined with the table. Which way a word goes
+changes no result.
 
 Counts and training cover every document. Each task trains on its own part
 from the same start, and the parts' weights are averaged by their number of
@@ -16,14 +23,15 @@ Repeated rows and null ids are scored like any other; an empty corpus gives an e
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batched, id_text, pairs
+from foliant.llm.common import batched, id_text, pairs, shared_path
 
 BUCKETS, CLASSES, WIDTH, WINDOW = 1 << 14, 32, 12, 2
 PAD = BUCKETS
@@ -31,6 +39,10 @@ PAD = BUCKETS
 STEP = 1 << 14
 RATE, ROUNDS = 0.3, 1
 SLICES = 32
+#: Distinct words that a task counts before it hands them on.
+HELD = 1 << 17
+#: Words at least as frequent as one in so many are broadcast.
+SHARE = 1 << 18
 _OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
@@ -39,25 +51,31 @@ def tokens(text: bytes | None) -> list[int]:
     return [crc(w) & (BUCKETS - 1) for w in text.lower().split()] if text else []
 
 
-def strips(rows: Iterator[tuple[int | None, bytes | None]]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """(ids, lengths, words): documents laid end to end with padding between; words of a long one stay together."""
-    gap = [PAD] * WINDOW
-    ids, sizes, words = [], [], gap[:]
-    for doc_id, text in rows:
-        own = tokens(text)
-        ids.append(doc_id)
+def strips(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(keys, lengths, words): documents laid end to end with padding between; words of a long one stay together."""
+    gap = np.full(WINDOW, PAD)
+    keys, sizes, words, held = [], [], [gap], 0
+    for key, own in rows:
+        keys.append(key)
         sizes.append(len(own))
-        words += own
-        words += gap
-        if len(words) >= STEP:
-            yield ids, np.array(sizes), np.array(words)
-            ids, sizes, words = [], [], gap[:]
-    if ids:
-        yield ids, np.array(sizes), np.array(words)
+        words += (own, gap)
+        held += len(own) + WINDOW
+        if held >= STEP:
+            yield keys, np.array(sizes), np.concatenate(words)
+            keys, sizes, words, held = [], [], [gap], 0
+    if keys:
+        yield keys, np.array(sizes), np.concatenate(words)
+
+
+def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, bucket of each word) of the rows of encode()."""
+    for batch in batches:
+        for key, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield key, np.frombuffer(codes.as_py(), np.uint16).astype(np.int64)
 
 
 class Classes:
-    """Buckets' classes and their log-probabilities within the class, from corpus counts."""
+    """Buckets' classes, their log-probabilities within the class and -log n, from corpus counts."""
 
     def __init__(self, counts: np.ndarray):
         mass = counts + 0.5
@@ -67,6 +85,7 @@ class Classes:
         self.of[order] = (before * CLASSES / mass.sum()).astype(np.int64)
         total = np.bincount(self.of, mass, CLASSES)
         self.within = np.log(mass / np.maximum(total, 1e-300)[self.of])
+        self.share = -np.log(np.maximum(counts, 1))
         self.prior = np.log(np.maximum(total, 0.5) / mass.sum())
 
 
@@ -132,22 +151,68 @@ def log_likelihood(net: dict[str, np.ndarray], classes: Classes, words: np.ndarr
     return out
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the corpus."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in the corpus, without a limit on their number."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        counts = np.zeros(BUCKETS + 1, np.int64)
-        for _, _, words in strips(pairs(batches)):
-            counts += np.bincount(words, minlength=BUCKETS + 1)
-        some = np.flatnonzero(counts[:BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+        held = Counter()
+        for _, text in pairs(batches):
+            held.update(text.lower().split() if text else ())
+            if len(held) >= HELD:
+                yield from batched(held.items(), schema, lambda row: len(row[0]))
+                held.clear()
+        yield from batched(held.items(), schema, lambda row: len(row[0]))
+
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    found = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+def bucket_counts(words: DataFrame) -> np.ndarray:
+    """How often each bucket occurs, from word_counts()."""
+    found = words.groupBy(F.crc32("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the corpus."""
+    return bucket_counts(word_counts(docs))
+
+
+class _Places(dict):
+    """Places of words; -1 for others."""
+
+    def __missing__(self, word):
+        return -1
+
+
+def encode(docs: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
+    """doc_id, codes (each word's bucket, two bytes), known (sum of log n of frequent words), rest (all other words, repeats included)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.binary()), ("known", pa.float64()), ("rest", pa.list_(pa.binary()))])
+
+    def run(batches):
+        crc = zlib.crc32
+        place = _Places((bytes(w), i) for i, (w, _) in enumerate(shared.value))
+        bucket = np.array([crc(w) & (BUCKETS - 1) for w in place], np.uint16)
+        logs = np.log(np.array([n for _, n in shared.value], float))
+
+        def rows():
+            for doc_id, text in pairs(batches):
+                words = text.lower().split() if text else []
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                codes, have = np.empty(len(words), np.uint16), at >= 0
+                found, rest = at[have], [words[i] for i in np.flatnonzero(~have)]
+                codes[have] = bucket[found]
+                codes[~have] = [crc(w) & (BUCKETS - 1) for w in rest]
+                yield doc_id, codes.tobytes(), float(logs[found].sum()), rest
+
+        yield from batched(rows(), schema, lambda row: len(row[1]) + sum(map(len, row[3])) + 8 * len(row[3]))
+
+    return docs.mapInArrow(run, "doc_id long, codes binary, known double, rest array<binary>")
+
+
 def _flat(net: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in net.values()])
 
@@ -160,9 +225,9 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(docs: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after `rounds` passes over every document, averaged over tasks after each."""
-    spark = docs.sparkSession
+def train(rows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The network after `rounds` passes over every row (key, codes), averaged over tasks after each."""
+    spark = rows.sparkSession
     net = start(classes)
     schema = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
     for _ in range(rounds):
@@ -171,7 +236,7 @@ def train(docs: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str,
         def fit(batches, shared=shared):
             begun, known = shared.value
             own, n = {k: v.copy() for k, v in begun.items()}, 0
-            for _, sizes, words in strips(pairs(batches)):
+            for _, sizes, words in strips(coded(batches)):
                 learn(own, known, words)
                 n += int(sizes.sum())
             if n:
@@ -189,32 +254,53 @@ def train(docs: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str,
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()]), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in sums.values()])], schema=schema)
 
         ddl = "slice int, n long, sums binary"
-        parts = docs.mapInArrow(fit, ddl).repartition("slice").mapInArrow(add, ddl).collect()
+        parts = rows.mapInArrow(fit, ddl).repartition("slice").mapInArrow(add, ddl).collect()
         if parts:
             flat = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(parts, key=lambda r: r["slice"])])
             net = _shaped(flat, net)
     return net
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_tokens, pll (sum of conditional log-probabilities, natural) and mean_logp of every row."""
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
-    classes = Classes(corpus_counts(docs))
-    shared = spark.sparkContext.broadcast((train(docs, classes, rounds), classes))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64()), ("mean_logp", pa.float64())])
+    table, coding = shared_path(spark, "words"), shared_path(spark, "codes")
+    word_counts(docs).write.parquet(table)
+    words = spark.read.parquet(table)
+    classes = Classes(bucket_counts(words))
+    total = int(words.agg(F.sum("n")).first()[0] or 0)
+    frequent = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") * share >= total).collect()]
+    encode(docs, frequent).withColumn("key", F.monotonically_increasing_id()).write.parquet(coding)
+    rows = spark.read.parquet(coding)
+    shared = spark.sparkContext.broadcast((train(rows.select("key", "codes"), classes, rounds), classes))
+    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("near", pa.float64()), ("doc_id", pa.int64()), ("known", pa.float64())])
 
     def run(batches):
-        net, known = shared.value
+        net, own = shared.value
 
-        def rows():
-            for ids, sizes, words in strips(pairs(batches)):
-                total = np.r_[0, np.cumsum(log_likelihood(net, known, words))]
+        def found():
+            held: list = []
+
+            def noted():
+                for batch in batches:
+                    held.extend(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+                    yield batch
+
+            for keys, sizes, codes in strips(coded(noted())):
+                each = log_likelihood(net, own, codes)
+                each[codes != PAD] += own.share[codes[codes != PAD]]
+                total = np.r_[0, np.cumsum(each)]
                 first = WINDOW + np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
                 sums = total[first + sizes] - total[first]
-                for doc_id, n, s in zip(ids, sizes.tolist(), sums.tolist(), strict=True):
-                    yield doc_id, n, s if n else 0.0, s / n if n else None
+                for key, n, s, (doc_id, known) in zip(keys, sizes.tolist(), sums.tolist(), held[: len(keys)], strict=True):
+                    yield key, n, s if n else 0.0, doc_id, known
+                del held[: len(keys)]
 
-        yield from batched(rows(), schema, lambda row: 32)
+        yield from batched(found(), schema, lambda row: 40)
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, pll double, mean_logp double")
+    near = rows.select("key", "codes", "doc_id", "known").mapInArrow(run, "key long, n_tokens long, near double, doc_id long, known double")
+    rest = rows.select(F.col("key").alias("of"), F.explode("rest").alias("word")).join(words, "word").groupBy("of").agg(F.sum(F.log("n")).alias("rest"))
+    pll = (F.col("near") + F.col("known") + F.coalesce("rest", F.lit(0.0))).alias("pll")
+    both = near.join(rest, near["key"] == rest["of"], "left").select("doc_id", "n_tokens", pll)
+    return both.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logp"))

@@ -56,6 +56,28 @@ def test_lm_likelihood_one_by_one_and_learning():
     assert np.allclose(per_class[per_class > 0], 1)
 
 
+def colliding(n):
+    """n words of one bucket."""
+    first, out, i = lm_score.tokens(b"v0")[0], [], 0
+    while len(out) < n:
+        if lm_score.tokens(f"v{i}".encode())[0] == first:
+            out.append(f"v{i}")
+        i += 1
+    return out
+
+
+def test_lm_words_of_one_bucket_have_their_own_counts(spark):
+    often, rare = colliding(2)
+    df = frame(spark, [(i, f"a {often} b") for i in range(63)] + [(63, f"a {rare} b"), (None, None)])
+    for share in (1, lm_score.SHARE):  # joined, broadcast
+        got = {r.doc_id: r.pll for r in lm_score.score(df, share=share).collect()}
+        assert abs(got[0] - got[63] - np.log(63)) < 1e-6 and got[None] == 0
+    from foliant.llm.common import id_text
+
+    counts = {bytes(r.word).decode(): r.n for r in lm_score.word_counts(id_text(df)).collect()}
+    assert counts == {"a": 64, "b": 64, often: 63, rare: 1}
+
+
 def test_ordinal_classifier(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(400)]
