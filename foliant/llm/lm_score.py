@@ -4,8 +4,10 @@ Words are lower-cased and stay apart, whatever their number: word_counts() is a
 distributed table of all of them. Only the network's input and output are
 hashed to BUCKETS numbers. It sees the WINDOW words on either side of a masked
 one and gives the distribution of its class; classes are bands of equal mass in
-the order of frequency, within a class a bucket has its corpus frequency, and
-within a bucket a word has its own: P(word | bucket) = n(word) / n(bucket).
+the order of frequency. Within a class a binary tree leads to the bucket, and
+each of its turns depends on the neighbours too; a tree's turns start at the
+corpus frequencies. Within a bucket a word has its own frequency:
+P(word | bucket) = n(word) / n(bucket).
 A document's score is the sum of the logarithms of all its words' conditional
 probabilities.
 
@@ -85,10 +87,41 @@ class Classes:
         self.of[order] = (before * CLASSES / mass.sum()).astype(np.int64)
         total = np.bincount(self.of, mass, CLASSES)
         self.within = np.log(mass / np.maximum(total, 1e-300)[self.of])
+        self.turns, self.lean = self._trees(order, mass)
         self.share = -np.log(np.maximum(counts, 1))
         self.prior = np.log(np.maximum(total, 0.5) / mass.sum())
 
 
+    def _trees(self, order: np.ndarray, mass: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """(first, node, side): of bucket b, those turns from first[b] to first[b + 1]; and the log-odds of each node by frequency.
+
+        A node is a border between two buckets in the order of frequency, near the middle of its part's mass.
+        """
+        upto = np.r_[0, np.cumsum(mass[order])]
+        lean, paths = np.zeros(BUCKETS), [()] * BUCKETS
+        ends = np.flatnonzero(np.r_[True, np.diff(self.of[order]) != 0, True]).tolist()
+        parts = [(a, b, ()) for a, b in zip(ends, ends[1:], strict=False)]
+        while parts:
+            a, b, path = parts.pop()
+            if b - a == 1:
+                paths[order[a]] = path
+                continue
+            cut = min(max(int(np.searchsorted(upto, (upto[a] + upto[b]) / 2)), a + 1), b - 1)
+            lean[cut] = np.log((upto[cut] - upto[a]) / (upto[b] - upto[cut]))
+            parts += ((a, cut, (*path, cut)), (cut, b, (*path, -cut)))
+        first = np.r_[0, np.cumsum([len(x) for x in paths])]
+        flat = np.array([x for path in paths for x in path], np.int64)
+        return (first, np.abs(flat), np.sign(flat).astype(np.float32)), lean
+
+    def path(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, node, side) of every turn on the way to words[i], by i."""
+        first, node, side = self.turns
+        n = first[words + 1] - first[words]
+        i = np.repeat(np.arange(len(words)), n)
+        at = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[words][i]
+        return i, node[at], side[at]
+
+
 def start(classes: Classes) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     return {
@@ -100,6 +133,11 @@ def start(classes: Classes) -> dict[str, np.ndarray]:
     }
 
 
+def start_trees(classes: Classes) -> dict[str, np.ndarray]:
+    """start() with the classes' trees; without learning, buckets have their frequencies within a class."""
+    return start(classes) | {"turn": np.zeros((WIDTH, BUCKETS), np.float32), "lean": classes.lean.astype(np.float32)}
+
+
 def _forward(net: dict[str, np.ndarray], words: np.ndarray, at: np.ndarray):
     near = np.stack([words[at + k] for k in _OFFSETS])
     h = np.tile(net["hidden"], (len(at), 1))
@@ -113,6 +151,25 @@ def _forward(net: dict[str, np.ndarray], words: np.ndarray, at: np.ndarray):
     return near, h, z, p, total
 
 
+def _sums(places: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """A row for each of n places: the sums of the columns there."""
+    return np.stack([np.bincount(places, c, n) for c in columns], 1).astype(np.float32)
+
+
+def _learn_trees(net: dict[str, np.ndarray], classes: Classes, true: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+    """One step of the trees' weights; the gradient by h, times rate."""
+    i, node, side = classes.path(true)
+    near, turn = h.T.take(i, 1), net["turn"].take(node, 1)
+    z = side * (np.einsum("ji,ji->i", near, turn) + net["lean"].take(node))
+    g = np.float32(-rate) * side / (1 + np.exp(np.minimum(z, 60)))
+    dh = np.empty_like(h)
+    for k in range(WIDTH):
+        dh[:, k] = np.bincount(i, turn[k] * g, len(true))
+        net["turn"][k] -= np.bincount(node, near[k] * g, BUCKETS)
+    net["lean"] -= np.bincount(node, g, BUCKETS)
+    return dh
+
+
 def learn(net: dict[str, np.ndarray], classes: Classes, words: np.ndarray, rate: float = RATE) -> None:
     """One step over every word of a strip."""
     for first in range(0, len(words), 4096):
@@ -124,30 +181,36 @@ def learn(net: dict[str, np.ndarray], classes: Classes, words: np.ndarray, rate:
         p /= total
         p[np.arange(len(at)), classes.of[words[at]]] -= 1
         p *= rate / len(at) ** 0.5 / 8
-        dh = (p @ net["out"].T) * (1 - h * h)
+        dh = p @ net["out"].T
+        if "turn" in net:
+            dh += _learn_trees(net, classes, words[at], h, rate / len(at) ** 0.5 / 8)
+        dh *= 1 - h * h
         net["out"] -= h.T @ p
         net["bias"] -= p.sum(0)
         net["hidden"] -= dh.sum(0)
         flat = near.ravel()
         grads = np.concatenate([dh * net["place"][j] for j in range(len(near))])
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        runs = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         for j, row in enumerate(near):
             net["place"][j] -= (dh * net["embed"][row]).sum(0)
-        net["embed"][ordered[runs]] -= np.add.reduceat(grads[order], runs)
+        net["embed"] -= _sums(flat, grads.T, BUCKETS + 1)
 
 
 def log_likelihood(net: dict[str, np.ndarray], classes: Classes, words: np.ndarray) -> np.ndarray:
-    """log P(word | its neighbours) at each place of a strip, 0 for padding."""
+    """log P(bucket | its neighbours) at each place of a strip, 0 for padding; of a net without trees by frequency within the class."""
     out = np.zeros(len(words))
     for first in range(0, len(words), 8192):
         part = np.arange(first, min(first + 8192, len(words)))
         at = part[words[part] != PAD]
         if len(at):
-            _, _, z, _, total = _forward(net, words, at)
+            _, h, z, _, total = _forward(net, words, at)
             true = words[at]
-            out[at] = z[np.arange(len(at)), classes.of[true]] - np.log(total[:, 0]) + classes.within[true]
+            out[at] = z[np.arange(len(at)), classes.of[true]] - np.log(total[:, 0])
+            if "turn" in net:
+                i, node, side = classes.path(true)
+                turns = side * (np.einsum("ji,ji->i", h.T.take(i, 1), net["turn"].take(node, 1)) + net["lean"].take(node))
+                out[at] -= np.bincount(i, np.maximum(-turns, 0) + np.log1p(np.exp(-np.abs(turns))), len(at))
+            else:
+                out[at] += classes.within[true]
     return out
 
 
@@ -228,7 +291,7 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 def train(rows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """The network after `rounds` passes over every row (key, codes), averaged over tasks after each."""
     spark = rows.sparkSession
-    net = start(classes)
+    net = start_trees(classes)
     schema = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((net, classes))

@@ -56,6 +56,26 @@ def test_lm_likelihood_one_by_one_and_learning():
     assert np.allclose(per_class[per_class > 0], 1)
 
 
+def test_lm_tells_words_of_one_class_apart_by_their_neighbours():
+    rng = np.random.default_rng(4)
+    buckets = rng.permutation(lm_score.BUCKETS)[:1000]
+    classes = lm_score.Classes(np.bincount(np.repeat(buckets, 50), minlength=lm_score.BUCKETS))
+    a, b = next((x, y) for x in buckets for y in buckets if x != y and classes.of[x] == classes.of[y])
+    p, q = buckets[-2:]
+    one, other = [p, p, a, p, p, lm_score.PAD, lm_score.PAD], [q, q, b, q, q, lm_score.PAD, lm_score.PAD]
+    words = np.r_[[lm_score.PAD] * 2, (one + other) * 300]
+    net = lm_score.start_trees(classes)
+    every = np.r_[[lm_score.PAD] * 2, np.ravel([[x, *[lm_score.PAD] * 2] for x in range(lm_score.BUCKETS)])]
+    assert np.allclose(lm_score.log_likelihood(net, classes, every), lm_score.log_likelihood(lm_score.start(classes), classes, every), atol=1e-3)
+    assert abs(np.exp(lm_score.log_likelihood(net, classes, every)[2::3]).sum() - 1) < 1e-3
+    for _ in range(200):
+        lm_score.learn(net, classes, words)
+    assert abs(np.exp(lm_score.log_likelihood(net, classes, every)[2::3]).sum() - 1) < 1e-3
+    gap = [lm_score.PAD] * 2
+    said = lambda near, x: lm_score.log_likelihood(net, classes, np.array([*gap, near, near, x, near, near, *gap]))[4]
+    assert said(p, a) - said(p, b) > 1 and said(q, b) - said(q, a) > 1
+
+
 def colliding(n):
     """n words of one bucket."""
     first, out, i = lm_score.tokens(b"v0")[0], [], 0
