@@ -15,9 +15,12 @@ Words that make up 1 / SHARE of the corpus or more are broadcast, so at most
 SHARE words; all rarer ones are joined with the table. Which way a word goes
 changes no result.
 
-Counts and training cover every document. Each task trains on its own part
-from the same start, and the parts' weights are averaged by their number of
-words; sums are formed in tasks, so the driver gets one model of fixed size.
+Counts and training cover every document. A hash of id and text deals the
+documents out to blocks of about BLOCK words, whatever partitions they come in,
+and gives their order there. A round trains GROUP blocks, each from the same
+net, and averages the nets by their number of words, so a larger corpus has
+more rounds, not more nets in one average; a small one is passed over until
+it has had LEAST rounds. Sums are formed in tasks, so the driver gets one model of fixed size a round.
 Null and empty texts have no words: n_tokens and pll are 0 and the mean is null.
 Repeated rows and null ids are scored like any other; an empty corpus gives an empty result.
 """
@@ -27,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ PAD = BUCKETS
 STEP = 1 << 14
 RATE, ROUNDS = 0.3, 1
 SLICES = 32
+#: Words of a block, blocks of a round, and the least number of rounds.
+BLOCK, GROUP, LEAST = 1 << 19, 24, 4
 #: Distinct words that a task counts before it hands them on.
 HELD = 1 << 17
 #: Words at least as frequent as one in so many are broadcast.
@@ -70,7 +76,7 @@ def strips(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int],
 
 
 def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(key, bucket of each word) of the rows of encode()."""
+    """(first column, bucket of each word) of rows whose second column is codes."""
     for batch in batches:
         for key, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             yield key, np.frombuffer(codes.as_py(), np.uint16).astype(np.int64)
@@ -251,9 +257,9 @@ class _Places(dict):
 
 
 def encode(docs: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
-    """doc_id, codes (each word's bucket, two bytes), known (sum of log n of frequent words), rest (all other words, repeats included)."""
+    """doc_id, mark (a hash of id and text), codes (each word's bucket, two bytes), known (sum of log n of frequent words), rest (all other words, repeats included)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.binary()), ("known", pa.float64()), ("rest", pa.list_(pa.binary()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("codes", pa.binary()), ("known", pa.float64()), ("rest", pa.list_(pa.binary()))])
 
     def run(batches):
         crc = zlib.crc32
@@ -261,19 +267,23 @@ def encode(docs: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
         bucket = np.array([crc(w) & (BUCKETS - 1) for w in place], np.uint16)
         logs = np.log(np.array([n for _, n in shared.value], float))
 
+        def marked(batches):
+            for batch in batches:
+                yield from zip(pairs([batch]), batch.column(2).to_pylist(), strict=True)
+
         def rows():
-            for doc_id, text in pairs(batches):
+            for (doc_id, text), mark in marked(batches):
                 words = text.lower().split() if text else []
                 at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
                 codes, have = np.empty(len(words), np.uint16), at >= 0
                 found, rest = at[have], [words[i] for i in np.flatnonzero(~have)]
                 codes[have] = bucket[found]
                 codes[~have] = [crc(w) & (BUCKETS - 1) for w in rest]
-                yield doc_id, codes.tobytes(), float(logs[found].sum()), rest
+                yield doc_id, mark, codes.tobytes(), float(logs[found].sum()), rest
 
-        yield from batched(rows(), schema, lambda row: len(row[1]) + sum(map(len, row[3])) + 8 * len(row[3]))
+        yield from batched(rows(), schema, lambda row: len(row[2]) + sum(map(len, row[4])) + 8 * len(row[4]))
 
-    return docs.mapInArrow(run, "doc_id long, codes binary, known double, rest array<binary>")
+    return docs.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, mark long, codes binary, known double, rest array<binary>")
 
 
 def _flat(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -288,23 +298,39 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(rows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after `rounds` passes over every row (key, codes), averaged over tasks after each."""
+def train(rows: DataFrame, classes: Classes, total: int, passes: int = ROUNDS, block: int = BLOCK, group: int = GROUP, least: int = LEAST) -> dict[str, np.ndarray]:
+    """The network after `passes` over every row (mark, codes) of `total` words, or as many as `least` rounds need."""
     spark = rows.sparkSession
     net = start_trees(classes)
+    blocks = max(1, -(-total // block))
+    rounds = -(-blocks // group)
+    path = shared_path(spark, "blocks")
+    dealt = rows.where("octet_length(codes) > 0").withColumn("block", F.expr(f"cast(pmod(mark, {blocks}) as int)")).withColumn("round", F.expr(f"cast(block % {rounds} as int)"))
+    # All of a block lies in one file, in order; a file holds one round's.
+    dealt.repartition(blocks, "block").sortWithinPartitions("round", "block", "mark", "codes").select("block", "codes", "round").write.partitionBy("round").parquet(path)
     schema = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
-    for _ in range(rounds):
+    if not total:
+        return net
+    for step in range(max(passes, -(-least // rounds)) * rounds):
         shared = spark.sparkContext.broadcast((net, classes))
 
         def fit(batches, shared=shared):
             begun, known = shared.value
-            own, n = {k: v.copy() for k, v in begun.items()}, 0
-            for _, sizes, words in strips(coded(batches)):
-                learn(own, known, words)
-                n += int(sizes.sum())
-            if n:
-                parts = np.array_split(_flat(own).astype(np.float64) * n, SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES), pa.array([x.astype(np.float32).tobytes() for x in parts])], schema=schema)
+            at, own, n = None, None, 0
+
+            def told():
+                if n:
+                    flat = np.array_split(_flat(own).astype(np.float64) * n, SLICES)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES), pa.array([x.astype(np.float32).tobytes() for x in flat])], schema=schema)
+
+            for key, part in groupby(coded(batches), lambda row: row[0]):
+                if key != at:
+                    yield from told()
+                    at, own, n = key, {k: v.copy() for k, v in begun.items()}, 0
+                for _, sizes, words in strips((0, codes) for _, codes in part):
+                    learn(own, known, words)
+                    n += int(sizes.sum())
+            yield from told()
 
         def add(batches):
             sums: dict[int, list] = {}
@@ -317,15 +343,16 @@ def train(rows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> dict[str,
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()]), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in sums.values()])], schema=schema)
 
         ddl = "slice int, n long, sums binary"
-        parts = rows.mapInArrow(fit, ddl).repartition("slice").mapInArrow(add, ddl).collect()
+        now = spark.read.schema("block int, codes binary").parquet(f"{path}/round={step % rounds}")
+        parts = now.mapInArrow(fit, ddl).repartition("slice").mapInArrow(add, ddl).collect()
+        shared.destroy()
         if parts:
-            flat = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(parts, key=lambda r: r["slice"])])
-            net = _shaped(flat, net)
+            net = _shaped(np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(parts, key=lambda r: r["slice"])]), net)
     return net
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of conditional log-probabilities, natural) and mean_logp of every row."""
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of conditional log-probabilities, natural) and mean_logp of every row; `rounds` is the least number of passes."""
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
     table, coding = shared_path(spark, "words"), shared_path(spark, "codes")
@@ -336,7 +363,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     frequent = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") * share >= total).collect()]
     encode(docs, frequent).withColumn("key", F.monotonically_increasing_id()).write.parquet(coding)
     rows = spark.read.parquet(coding)
-    shared = spark.sparkContext.broadcast((train(rows.select("key", "codes"), classes, rounds), classes))
+    shared = spark.sparkContext.broadcast((train(rows.select("mark", "codes"), classes, total, rounds, block), classes))
     schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("near", pa.float64()), ("doc_id", pa.int64()), ("known", pa.float64())])
 
     def run(batches):

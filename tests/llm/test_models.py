@@ -76,6 +76,12 @@ def test_lm_tells_words_of_one_class_apart_by_their_neighbours():
     assert said(p, a) - said(p, b) > 1 and said(q, b) - said(q, a) > 1
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.mean_logp for r in lm_score.score(docs.repartition(n), block=6000).collect()} for n in (1, 37))
+    assert one.keys() == many.keys() and all((one[k] is None and many[k] is None) or abs(one[k] - many[k]) < 1e-3 for k in one)
+
+
 def colliding(n):
     """n words of one bucket."""
     first, out, i = lm_score.tokens(b"v0")[0], [], 0
