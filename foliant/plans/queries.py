@@ -105,6 +105,14 @@ def q_text_widths(spark, sf_dir):
     return d.select("doc_id", t.display_length(F.col("text")).alias("width"), F.levenshtein(F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "_"), F.regexp_replace(F.substring("text", 30, 60), "[^ -~]", "_")).alias("edits"), t.half_width(F.concat("source", F.lit("！ａ"))).alias("half"))
 
 
+@query()
+def q_edit_distance(spark, sf_dir):
+    """Each benchmark item's edit distance from the next one, over whole texts and real characters."""
+    b = table(spark, sf_dir, "benchmark")
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after"))
+    return b.join(after, "item_id").select("item_id", F.levenshtein("text", "after").alias("edits"))
+
+
 @query("SELECT page_id, 'root/labels/' || page_id || '.txt' AS label_path FROM pages")
 def q_label_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.label_path(F.concat(F.lit("root/images/"), "page_id", F.lit(".jpg"))).alias("label_path"))

@@ -78,3 +78,20 @@ def test_labels(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1 0.5 0.5 0.1 0.1\n\n2 0.5 1.5 0.1 0.1\n3 0.5\n")
     got = annotations.read_labels(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()
     assert [(r.line_no, r.cls, r.valid) for r in got] == [(0, 1, True), (2, 2, False), (3, 3, False)]
+
+
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_of_whole_texts(spark, tmp_path):
+    same = "x" * 200
+    texts = [same + "abc", same + "éb" * 20, same + "校验", "", None, "z"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.edits for r in QUERIES["q_edit_distance"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if None in pair else brute_edits(*pair) for i, pair in enumerate(zip(texts, texts[1:], strict=False))} and got[0] > 0
