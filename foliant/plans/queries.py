@@ -259,7 +259,7 @@ def q_party_fields(spark, sf_dir):
 
 @query(r"""SELECT page_id, split_part(list_last(string_split(rtrim(url, '/'), '/')), '?', 1) AS file, regexp_matches(lower(url), '^(rtsp|rtmp|https?)://') AS is_url, NOT regexp_matches(html, '[^\x00-\x7F]') AS is_ascii FROM pages WHERE NOT contains(url, '%')""")
 def q_url_files(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("NOT contains(url, '%')")
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", t.url_file(F.col("url")).alias("file"), t.is_url(F.col("url")).alias("is_url"), t.is_ascii(F.col("html")).alias("is_ascii"))
 
 

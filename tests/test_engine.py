@@ -95,3 +95,10 @@ def test_edit_distance_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.item_id: r.edits for r in QUERIES["q_edit_distance"](spark, str(tmp_path)).collect()}
     assert got == {i: None if None in pair else brute_edits(*pair) for i, pair in enumerate(zip(texts, texts[1:], strict=False))} and got[0] > 0
+
+
+def test_url_files_of_encoded_and_missing_addresses(spark, tmp_path):
+    urls = {1: "https://h.org/a/b%20c.txt?k=v", 2: "https://h.org/a/50%zz", 3: None, 4: "h/d+e"}
+    spark.createDataFrame([(k, u, "a") for k, u in urls.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.file, bool(r.is_url)) for r in QUERIES["q_url_files"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("b c.txt", True), 2: ("50%zz", True), 3: ("", False), 4: ("d+e", False)}
