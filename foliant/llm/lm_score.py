@@ -1,13 +1,12 @@
 """Masked pseudo-likelihood by a bidirectional window network, trained in numpy over the whole corpus.
 
-Words are lower-cased and stay apart, whatever their number: word_counts() is a
-distributed table of all of them. Only the network's input and output are
-hashed to BUCKETS numbers. It sees the WINDOW words on either side of a masked
-one and gives the distribution of its class; classes are bands of equal mass in
-the order of frequency. Within a class a binary tree leads to the bucket, and
-each of its turns depends on the neighbours too; a tree's turns start at the
-corpus frequencies. Within a bucket a word has its own frequency:
-P(word | bucket) = n(word) / n(bucket).
+Words are lower-cased. The network sees the WINDOW words on either side of a
+masked one and gives the distribution of its number: the corpus's OWN most
+frequent words have a number each, all others are hashed to the rest of
+BUCKETS. The distribution is a softmax over classes and one over the SIDE
+numbers of the class, both of which look at the neighbours, so it is normalised
+over all numbers. Words stay apart, however many: within a number a word has its own frequency,
+P(word | number) = n(word) / n(number), by word_counts(), a distributed table of all of them.
 A document's score is the sum of the logarithms of all its words' conditional
 probabilities.
 
@@ -17,10 +16,11 @@ changes no result.
 
 Counts and training cover every document. A hash of id and text deals the
 documents out to blocks of about BLOCK words, whatever partitions they come in,
-and gives their order there. A round trains GROUP blocks, each from the same
-net, and averages the nets by their number of words, so a larger corpus has
-more rounds, not more nets in one average; a small one is passed over until
-it has had LEAST rounds. Sums are formed in tasks, so the driver gets one model of fixed size a round.
+and gives their order there. A round trains some blocks, each from the same
+net, and averages the nets by their number of words. Rounds have GROUP blocks;
+a small corpus is passed over until it has had LEAST rounds, and a corpus of
+over MOST * GROUP blocks has more blocks a round, not more rounds. Sums are
+formed in tasks, so the driver gets one model of fixed size a round.
 Null and empty texts have no words: n_tokens and pll are 0 and the mean is null.
 Repeated rows and null ids are scored like any other; an empty corpus gives an empty result.
 """
@@ -39,14 +39,18 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import batched, id_text, pairs, shared_path
 
-BUCKETS, CLASSES, WIDTH, WINDOW = 1 << 14, 32, 12, 2
+#: Numbers of a class, and classes; all numbers, those of one word, and the one that stands for no neighbour.
+SIDE, CLASSES = 64, 64
+BUCKETS = SIDE * CLASSES
+OWN = BUCKETS * 3 // 4
 PAD = BUCKETS
-#: Words that are trained on or scored together.
-STEP = 1 << 14
-RATE, ROUNDS = 0.3, 1
+WIDTH, WINDOW = 8, 2
+#: Words that are trained on at once, and that are laid end to end or scored at once.
+BATCH, STEP = 1 << 14, 1 << 15
+RATE, LARGE, ROUNDS = 0.12, 5.0, 1
 SLICES = 32
-#: Words of a block, blocks of a round, and the least number of rounds.
-BLOCK, GROUP, LEAST = 1 << 19, 24, 4
+#: Words of a block, blocks of a round, and the least and greatest number of rounds.
+BLOCK, GROUP, LEAST, MOST = 1 << 19, 24, 4, 32
 #: Distinct words that a task counts before it hands them on.
 HELD = 1 << 17
 #: Words at least as frequent as one in so many are broadcast.
@@ -54,9 +58,13 @@ SHARE = 1 << 18
 _OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
-def tokens(text: bytes | None) -> list[int]:
-    crc = zlib.crc32
-    return [crc(w) & (BUCKETS - 1) for w in text.lower().split()] if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def hashed(word: bytes) -> int:
+    """The number of a word that has none of its own."""
+    return OWN + zlib.crc32(word) % (BUCKETS - OWN)
 
 
 def strips(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -76,85 +84,75 @@ def strips(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int],
 
 
 def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(first column, bucket of each word) of rows whose second column is codes."""
+    """(first column, number of each word) of rows whose second column is codes."""
     for batch in batches:
         for key, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             yield key, np.frombuffer(codes.as_py(), np.uint16).astype(np.int64)
 
 
 class Classes:
-    """Buckets' classes, their log-probabilities within the class and -log n, from corpus counts."""
+    """Numbers' places in the order of frequency, which is also that of classes, and their log-probabilities in the corpus."""
 
     def __init__(self, counts: np.ndarray):
         mass = counts + 0.5
         order = np.argsort(-mass, kind="stable")
-        before = np.cumsum(mass[order]) - mass[order]
-        self.of = np.empty(BUCKETS, np.int64)
-        self.of[order] = (before * CLASSES / mass.sum()).astype(np.int64)
-        total = np.bincount(self.of, mass, CLASSES)
-        self.within = np.log(mass / np.maximum(total, 1e-300)[self.of])
-        self.turns, self.lean = self._trees(order, mass)
+        self.place = np.empty(BUCKETS + 1, np.int64)
+        self.place[order] = np.arange(BUCKETS)
+        self.place[PAD] = PAD
+        each = (mass[order] / mass.sum()).reshape(CLASSES, SIDE)
+        self.prior = np.log(each.sum(1))
+        self.within = np.log(each) - self.prior[:, None]
         self.share = -np.log(np.maximum(counts, 1))
-        self.prior = np.log(np.maximum(total, 0.5) / mass.sum())
-
-
-    def _trees(self, order: np.ndarray, mass: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-        """(first, node, side): of bucket b, those turns from first[b] to first[b + 1]; and the log-odds of each node by frequency.
-
-        A node is a border between two buckets in the order of frequency, near the middle of its part's mass.
-        """
-        upto = np.r_[0, np.cumsum(mass[order])]
-        lean, paths = np.zeros(BUCKETS), [()] * BUCKETS
-        ends = np.flatnonzero(np.r_[True, np.diff(self.of[order]) != 0, True]).tolist()
-        parts = [(a, b, ()) for a, b in zip(ends, ends[1:], strict=False)]
-        while parts:
-            a, b, path = parts.pop()
-            if b - a == 1:
-                paths[order[a]] = path
-                continue
-            cut = min(max(int(np.searchsorted(upto, (upto[a] + upto[b]) / 2)), a + 1), b - 1)
-            lean[cut] = np.log((upto[cut] - upto[a]) / (upto[b] - upto[cut]))
-            parts += ((a, cut, (*path, cut)), (cut, b, (*path, -cut)))
-        first = np.r_[0, np.cumsum([len(x) for x in paths])]
-        flat = np.array([x for path in paths for x in path], np.int64)
-        return (first, np.abs(flat), np.sign(flat).astype(np.float32)), lean
-
-    def path(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, node, side) of every turn on the way to words[i], by i."""
-        first, node, side = self.turns
-        n = first[words + 1] - first[words]
-        i = np.repeat(np.arange(len(words)), n)
-        at = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[words][i]
-        return i, node[at], side[at]
 
 
 def start(classes: Classes) -> dict[str, np.ndarray]:
+    """The network before learning, which gives the corpus frequencies whatever the neighbours. The last column of out and turn is for a constant input."""
     rng = np.random.default_rng(11)
-    return {
-        "embed": rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32),
-        "place": np.ones((len(_OFFSETS), WIDTH), np.float32),
-        "hidden": np.zeros(WIDTH, np.float32),
-        "out": rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32),
-        "bias": classes.prior.astype(np.float32),
+    net = {
+        "embed": rng.normal(0, 0.3, (BUCKETS + 1, WIDTH)),
+        "place": np.ones((len(_OFFSETS), WIDTH)),
+        "hidden": np.zeros(WIDTH),
+        "out": np.c_[np.zeros((CLASSES, WIDTH)), classes.prior],
+        "turn": np.c_[np.zeros((BUCKETS, WIDTH)), classes.within.ravel()],
     }
+    net |= {f"{k}^2": np.full(v.shape, 1e-4) for k, v in net.items()}
+    return {k: v.astype(np.float32) for k, v in net.items()}
 
 
-def start_trees(classes: Classes) -> dict[str, np.ndarray]:
-    """start() with the classes' trees; without learning, buckets have their frequencies within a class."""
-    return start(classes) | {"turn": np.zeros((WIDTH, BUCKETS), np.float32), "lean": classes.lean.astype(np.float32)}
+def _forward(net: dict[str, np.ndarray], words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours, their rows of embed, and the hidden values with a constant beside them."""
+    near = np.stack([words[at + k] for k in _OFFSETS])
+    h = np.ones((len(at), WIDTH + 1), np.float32)
+    rows = net["embed"].take(near, 0)
+    np.tanh(np.einsum("jid,jd->id", rows, net["place"]) + net["hidden"], out=h[:, :WIDTH])
+    return near, rows, h
 
 
-def _forward(net: dict[str, np.ndarray], words: np.ndarray, at: np.ndarray):
-    near = np.stack([words[at + k] for k in _OFFSETS])
-    h = np.tile(net["hidden"], (len(at), 1))
-    for j, row in enumerate(near):
-        h += net["embed"][row] * net["place"][j]
-    np.tanh(h, out=h)
-    z = h @ net["out"] + net["bias"]
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(1, keepdims=True)
-    return near, h, z, p, total
+def _summed(weights: np.ndarray) -> np.ndarray:
+    """Weights with ones in place of the constant's: exp(z) @ these gives the pull on h and, last, the sum."""
+    out = weights.copy()
+    out[:, -1] = 1
+    return out
+
+
+def _runs(numbers: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts, and the end."""
+    return np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True])
+
+
+def _pull(h: np.ndarray, weights: np.ndarray, summed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the whole distribution adds to the gradients of minus log-likelihood by h and by weights."""
+    z = h @ weights.T
+    e = np.exp(z, out=z)
+    both = e @ summed
+    total = both[:, -1:].copy()
+    both /= total
+    return both, e.T @ (h / total)
+
+
+def _total(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = h @ weights.T
+    return np.exp(z, out=z) @ np.ones(len(weights), np.float32)
 
 
 def _sums(places: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
@@ -162,62 +160,64 @@ def _sums(places: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarr
     return np.stack([np.bincount(places, c, n) for c in columns], 1).astype(np.float32)
 
 
-def _learn_trees(net: dict[str, np.ndarray], classes: Classes, true: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-    """One step of the trees' weights; the gradient by h, times rate."""
-    i, node, side = classes.path(true)
-    near, turn = h.T.take(i, 1), net["turn"].take(node, 1)
-    z = side * (np.einsum("ji,ji->i", near, turn) + net["lean"].take(node))
-    g = np.float32(-rate) * side / (1 + np.exp(np.minimum(z, 60)))
-    dh = np.empty_like(h)
-    for k in range(WIDTH):
-        dh[:, k] = np.bincount(i, turn[k] * g, len(true))
-        net["turn"][k] -= np.bincount(node, near[k] * g, BUCKETS)
-    net["lean"] -= np.bincount(node, g, BUCKETS)
-    return dh
-
-
-def learn(net: dict[str, np.ndarray], classes: Classes, words: np.ndarray, rate: float = RATE) -> None:
-    """One step over every word of a strip."""
-    for first in range(0, len(words), 4096):
-        part = np.arange(first, min(first + 4096, len(words)))
-        at = part[words[part] != PAD]
-        if not len(at):
-            continue
-        near, h, _, p, total = _forward(net, words, at)
-        p /= total
-        p[np.arange(len(at)), classes.of[words[at]]] -= 1
-        p *= rate / len(at) ** 0.5 / 8
-        dh = p @ net["out"].T
-        if "turn" in net:
-            dh += _learn_trees(net, classes, words[at], h, rate / len(at) ** 0.5 / 8)
-        dh *= 1 - h * h
-        net["out"] -= h.T @ p
-        net["bias"] -= p.sum(0)
-        net["hidden"] -= dh.sum(0)
-        flat = near.ravel()
-        grads = np.concatenate([dh * net["place"][j] for j in range(len(near))])
-        for j, row in enumerate(near):
-            net["place"][j] -= (dh * net["embed"][row]).sum(0)
-        net["embed"] -= _sums(flat, grads.T, BUCKETS + 1)
-
-
-def log_likelihood(net: dict[str, np.ndarray], classes: Classes, words: np.ndarray) -> np.ndarray:
-    """log P(bucket | its neighbours) at each place of a strip, 0 for padding; of a net without trees by frequency within the class."""
-    out = np.zeros(len(words))
-    for first in range(0, len(words), 8192):
-        part = np.arange(first, min(first + 8192, len(words)))
-        at = part[words[part] != PAD]
-        if len(at):
-            _, h, z, _, total = _forward(net, words, at)
-            true = words[at]
-            out[at] = z[np.arange(len(at)), classes.of[true]] - np.log(total[:, 0])
-            if "turn" in net:
-                i, node, side = classes.path(true)
-                turns = side * (np.einsum("ji,ji->i", h.T.take(i, 1), net["turn"].take(node, 1)) + net["lean"].take(node))
-                out[at] -= np.bincount(i, np.maximum(-turns, 0) + np.log1p(np.exp(-np.abs(turns))), len(at))
-            else:
-                out[at] += classes.within[true]
-    return out
+def _step(net: dict[str, np.ndarray], name: str, grad: np.ndarray, rate: float) -> None:
+    """A step against the gradient, smaller where there have been large ones. No weight gets so large that exp() overflows."""
+    net[f"{name}^2"] += grad * grad
+    net[name] -= rate * grad / np.sqrt(net[f"{name}^2"])
+    np.clip(net[name][..., :WIDTH], -LARGE, LARGE, out=net[name][..., :WIDTH])
+
+
+def learn(net: dict[str, np.ndarray], words: np.ndarray, rate: float = RATE) -> None:
+    """One pass over a strip of places in the order of frequency."""
+    every = np.flatnonzero(words != PAD)
+    for first in range(0, len(every), BATCH):
+        at = every[first : first + BATCH]
+        at = at[np.argsort(words[at], kind="stable")]
+        true = words[at]
+        near, rows, h = _forward(net, words, at)
+        out, turn = net["out"], net["turn"]
+        summed, g_turn = _summed(turn), np.zeros_like(turn)
+        kind = true // SIDE
+        dh, g_out = _pull(h, out, _summed(out))
+        dh -= out.take(kind, 0)
+        dh -= turn.take(true, 0)
+        ends = _runs(kind)
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            c = int(kind[a]) * SIDE
+            more, g_turn[c : c + SIDE] = _pull(h[a:b], turn[c : c + SIDE], summed[c : c + SIDE])
+            dh[a:b] += more
+        g_out[kind[ends[:-1]]] -= np.add.reduceat(h, ends[:-1])
+        ends = _runs(true)[:-1]
+        g_turn[true[ends]] -= np.add.reduceat(h, ends)
+        size = np.float32(1 / len(at))
+        h = h[:, :-1]
+        dh = dh[:, :-1] * (1 - h * h) * size
+        _step(net, "place", np.einsum("jid,id->jd", rows, dh), rate)
+        _step(net, "hidden", dh.sum(0), rate)
+        _step(net, "embed", _sums(near.ravel(), np.concatenate([dh.T * p[:, None] for p in net["place"]], 1), BUCKETS + 1), rate)
+        _step(net, "out", g_out * size, rate)
+        _step(net, "turn", g_turn * size, rate)
+
+
+def log_likelihood(net: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
+    """log P(number | its neighbours) at each place of a strip, 0 for padding; numbers as places in the order of frequency."""
+    found = np.zeros(len(words))
+    every = np.flatnonzero(words != PAD)
+    for first in range(0, len(every), STEP):
+        at = every[first : first + STEP]
+        at = at[np.argsort(words[at], kind="stable")]
+        true = words[at]
+        _, _, h = _forward(net, words, at)
+        kind = true // SIDE
+        said = np.einsum("id,id->i", h, net["out"].take(kind, 0) + net["turn"].take(true, 0))
+        total = _total(h, net["out"])
+        ends = _runs(kind)
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            c = int(kind[a]) * SIDE
+            total[a:b] *= _total(h[a:b], net["turn"][c : c + SIDE])
+        said -= np.log(total)
+        found[at] = said
+    return found
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         held = Counter()
         for _, text in pairs(batches):
-            held.update(text.lower().split() if text else ())
+            held.update(words_of(text))
             if len(held) >= HELD:
                 yield from batched(held.items(), schema, lambda row: len(row[0]))
                 held.clear()
@@ -236,50 +236,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bucket_counts(words: DataFrame) -> np.ndarray:
-    """How often each bucket occurs, from word_counts()."""
-    found = words.groupBy(F.crc32("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
-
+class Numbers(dict):
+    """The numbers of broadcast words; the most frequent ones have their own. None for others."""
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the corpus."""
-    return bucket_counts(word_counts(docs))
+    def __init__(self, frequent: list[tuple[bytes, int]]):
+        ordered = sorted(frequent, key=lambda x: (-x[1], x[0]))
+        super().__init__((w, i if i < OWN else hashed(w)) for i, (w, _) in enumerate(ordered))
+        self.logs = dict(zip(self, np.log([n for _, n in ordered]).tolist(), strict=True))
+        self.own = ordered[:OWN]
 
+    def __missing__(self, word):
+        return None
 
-class _Places(dict):
-    """Places of words; -1 for others."""
 
-    def __missing__(self, word):
-        return -1
+def number_counts(words: DataFrame, numbers: Numbers) -> np.ndarray:
+    """How often each number occurs, from word_counts()."""
+    found = words.groupBy(F.expr(f"{OWN} + crc32(word) % {BUCKETS - OWN}").alias("number")).agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["number"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    for i, (word, n) in enumerate(numbers.own):
+        out[i] = n
+        out[hashed(word)] -= n
+    return out
 
 
-def encode(docs: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
-    """doc_id, mark (a hash of id and text), codes (each word's bucket, two bytes), known (sum of log n of frequent words), rest (all other words, repeats included)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def encode(docs: DataFrame, numbers: Numbers, place: np.ndarray) -> DataFrame:
+    """doc_id, mark (a hash of id and text), codes (the place of each word's number, two bytes), known (sum of log n of broadcast words), rest (all other words, repeats included)."""
+    shared = docs.sparkSession.sparkContext.broadcast((numbers.own, dict(numbers), numbers.logs, place))
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("codes", pa.binary()), ("known", pa.float64()), ("rest", pa.list_(pa.binary()))])
 
     def run(batches):
-        crc = zlib.crc32
-        place = _Places((bytes(w), i) for i, (w, _) in enumerate(shared.value))
-        bucket = np.array([crc(w) & (BUCKETS - 1) for w in place], np.uint16)
-        logs = np.log(np.array([n for _, n in shared.value], float))
-
-        def marked(batches):
-            for batch in batches:
-                yield from zip(pairs([batch]), batch.column(2).to_pylist(), strict=True)
+        _, number, logs, place = shared.value
+        code = {w: int(place[n]) for w, n in number.items()}
 
         def rows():
-            for (doc_id, text), mark in marked(batches):
-                words = text.lower().split() if text else []
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                codes, have = np.empty(len(words), np.uint16), at >= 0
-                found, rest = at[have], [words[i] for i in np.flatnonzero(~have)]
-                codes[have] = bucket[found]
-                codes[~have] = [crc(w) & (BUCKETS - 1) for w in rest]
-                yield doc_id, mark, codes.tobytes(), float(logs[found].sum()), rest
+            for batch in batches:
+                for (doc_id, text), mark in zip(pairs([batch]), batch.column(2).to_pylist(), strict=True):
+                    words = words_of(text)
+                    codes = [*map(code.get, words)]
+                    rest = []
+                    if None in codes:
+                        for i, c in enumerate(codes):
+                            if c is None:
+                                rest.append(words[i])
+                                codes[i] = int(place[hashed(words[i])])
+                    known = sum(map(logs.get, words)) if not rest else sum(x for x in map(logs.get, words) if x is not None)
+                    yield doc_id, mark, np.array(codes, np.uint16).tobytes(), float(known), rest
 
         yield from batched(rows(), schema, lambda row: len(row[2]) + sum(map(len, row[4])) + 8 * len(row[4]))
 
@@ -298,24 +300,32 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(rows: DataFrame, classes: Classes, total: int, passes: int = ROUNDS, block: int = BLOCK, group: int = GROUP, least: int = LEAST) -> dict[str, np.ndarray]:
-    """The network after `passes` over every row (mark, codes) of `total` words, or as many as `least` rounds need."""
-    spark = rows.sparkSession
-    net = start_trees(classes)
+def rounds_of(total: int, block: int = BLOCK, group: int = GROUP, most: int = MOST) -> tuple[int, int]:
+    """(blocks, rounds of a pass) for a corpus of `total` words."""
     blocks = max(1, -(-total // block))
-    rounds = -(-blocks // group)
-    path = shared_path(spark, "blocks")
-    dealt = rows.where("octet_length(codes) > 0").withColumn("block", F.expr(f"cast(pmod(mark, {blocks}) as int)")).withColumn("round", F.expr(f"cast(block % {rounds} as int)"))
-    # All of a block lies in one file, in order; a file holds one round's.
-    dealt.repartition(blocks, "block").sortWithinPartitions("round", "block", "mark", "codes").select("block", "codes", "round").write.partitionBy("round").parquet(path)
+    return blocks, min(-(-blocks // group), most)
+
+
+def deal(rows: DataFrame, blocks: int, rounds: int, path: str) -> None:
+    """Write encoded rows with key, block and round: all of a block in one file, in order, and a file for one round's blocks.
+
+    Texts without words, which may be very many and equal, are dealt out by key.
+    """
+    named = rows.withColumn("key", F.monotonically_increasing_id())
+    block = F.expr(f"cast(pmod(IF(octet_length(codes) = 0, key, mark), {blocks}) as int)")
+    dealt = named.withColumn("block", block).withColumn("round", F.expr(f"cast(block % {rounds} as int)"))
+    dealt.repartition(blocks, "block").sortWithinPartitions("round", "block", "mark", "codes").write.partitionBy("round").parquet(path)
+
+
+def train(rows: DataFrame, net: dict[str, np.ndarray], rounds: int, passes: int = ROUNDS, least: int = LEAST) -> dict[str, np.ndarray]:
+    """The network after `passes` over every row (block, codes, round), or as many as `least` rounds need."""
+    spark = rows.sparkSession
     schema = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
-    if not total:
-        return net
     for step in range(max(passes, -(-least // rounds)) * rounds):
-        shared = spark.sparkContext.broadcast((net, classes))
+        shared = spark.sparkContext.broadcast(net)
 
         def fit(batches, shared=shared):
-            begun, known = shared.value
+            begun = shared.value
             at, own, n = None, None, 0
 
             def told():
@@ -328,7 +338,7 @@ def train(rows: DataFrame, classes: Classes, total: int, passes: int = ROUNDS, b
                     yield from told()
                     at, own, n = key, {k: v.copy() for k, v in begun.items()}, 0
                 for _, sizes, words in strips((0, codes) for _, codes in part):
-                    learn(own, known, words)
+                    learn(own, words)
                     n += int(sizes.sum())
             yield from told()
 
@@ -343,7 +353,7 @@ def train(rows: DataFrame, classes: Classes, total: int, passes: int = ROUNDS, b
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()]), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in sums.values()])], schema=schema)
 
         ddl = "slice int, n long, sums binary"
-        now = spark.read.schema("block int, codes binary").parquet(f"{path}/round={step % rounds}")
+        now = rows.where(F.col("round") == step % rounds).select("block", "codes")
         parts = now.mapInArrow(fit, ddl).repartition("slice").mapInArrow(add, ddl).collect()
         shared.destroy()
         if parts:
@@ -351,23 +361,25 @@ def train(rows: DataFrame, classes: Classes, total: int, passes: int = ROUNDS, b
     return net
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of conditional log-probabilities, natural) and mean_logp of every row; `rounds` is the least number of passes."""
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = ROUNDS, share: int = SHARE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of conditional log-probabilities, natural) and mean_logp of every row; `passes` is the least number of passes."""
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
     table, coding = shared_path(spark, "words"), shared_path(spark, "codes")
     word_counts(docs).write.parquet(table)
     words = spark.read.parquet(table)
-    classes = Classes(bucket_counts(words))
     total = int(words.agg(F.sum("n")).first()[0] or 0)
-    frequent = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") * share >= total).collect()]
-    encode(docs, frequent).withColumn("key", F.monotonically_increasing_id()).write.parquet(coding)
-    rows = spark.read.parquet(coding)
-    shared = spark.sparkContext.broadcast((train(rows.select("mark", "codes"), classes, total, rounds, block), classes))
+    numbers = Numbers([(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") * share >= total).collect()])
+    classes = Classes(number_counts(words, numbers))
+    blocks, rounds = rounds_of(total, block)
+    deal(encode(docs, numbers, classes.place), blocks, rounds, coding)
+    rows = spark.read.schema("doc_id long, codes binary, known double, rest array<binary>, key long, block int, round int").parquet(coding)
+    net = train(rows, start(classes), rounds, passes) if total else start(classes)
+    shared = spark.sparkContext.broadcast((net, classes.share[np.argsort(classes.place[:BUCKETS])]))
     schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("near", pa.float64()), ("doc_id", pa.int64()), ("known", pa.float64())])
 
     def run(batches):
-        net, own = shared.value
+        net, share = shared.value
 
         def found():
             held: list = []
@@ -378,8 +390,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
                     yield batch
 
             for keys, sizes, codes in strips(coded(noted())):
-                each = log_likelihood(net, own, codes)
-                each[codes != PAD] += own.share[codes[codes != PAD]]
+                each = log_likelihood(net, codes)
+                inside = codes != PAD
+                each[inside] += share[codes[inside]]
                 total = np.r_[0, np.cumsum(each)]
                 first = WINDOW + np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
                 sums = total[first + sizes] - total[first]

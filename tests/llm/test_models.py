@@ -15,65 +15,99 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, 1.0, True) for d, t in rows], "doc_id long, text string, pll double, kept boolean")
 
 
-def test_lm_scores(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def brute_scores(rows, net, classes, numbers, counts):
+    """pll of each row, word by word."""
+    W, C, S = lm_score.WIDTH, lm_score.CLASSES, lm_score.SIDE
+    number = lambda w: numbers[w] if numbers[w] is not None else lm_score.hashed(w)
+    mass = np.zeros(lm_score.BUCKETS)
+    for w, n in counts.items():
+        mass[number(w)] += n
+    out = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        places = [int(classes.place[number(w)]) for w in words]
+        padded = [lm_score.PAD] * 2 + places + [lm_score.PAD] * 2
+        total = 0.0
+        for i, (w, p) in enumerate(zip(words, places)):
+            h = np.r_[np.tanh(net["hidden"] + sum(net["embed"][padded[i + 2 + k]] * net["place"][j] for j, k in enumerate((-2, -1, 1, 2)))), 1]
+            of_class = np.exp(net["out"] @ h)
+            within = np.exp(net["turn"].reshape(C, S, W + 1)[p // S] @ h)
+            total += np.log(of_class[p // S] / of_class.sum()) + np.log(within[p % S] / within.sum()) + np.log(counts[w] / mass[number(w)])
+        out.append(total)
+    return out
+
+
+def test_lm_scores_word_by_word(spark, sf_dir, monkeypatch):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60)
     rows = [(r.doc_id + 100, r.text) for r in docs.collect()] + ODD
     df = frame(spark, rows)
-    got = lm_score.score(df).collect()
-    assert len(got) == len(rows)
-    counts = np.zeros(lm_score.BUCKETS, np.int64)
-    for _, t in rows:
-        for b in lm_score.tokens((t or "").encode()):
-            counts[b] += 1
-    from foliant.llm.common import id_text
-
-    assert (lm_score.corpus_counts(id_text(df)) == counts).all()
-    for r in got:
-        if not r.n_tokens:
-            assert r.pll == 0 and r.mean_logp is None
-        else:
-            assert r.pll < 0 and abs(r.mean_logp * r.n_tokens - r.pll) < 1e-6
+    held = {}
+    learnt = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **k: held.setdefault("net", learnt(*a, **k)))
+    counts = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    for share in (lm_score.SHARE, 300):  # all words broadcast; most joined
+        held.clear()
+        got = lm_score.score(df, share=share, block=20000).collect()
+        numbers = lm_score.Numbers([(w, n) for w, n in counts.items() if n * share >= sum(counts.values())])
+        mass = np.zeros(lm_score.BUCKETS, np.int64)
+        for w, n in counts.items():
+            mass[numbers[w] if numbers[w] is not None else lm_score.hashed(w)] += n
+        want = brute_scores(rows, held["net"], lm_score.Classes(mass), numbers, counts)
+        assert len(got) == len(rows)
+        words = [len((t or "").split()) for _, t in rows]
+        for (d, n, x), (e, m, y) in zip(sorted((str(r.doc_id), r.n_tokens, r.pll) for r in got), sorted((str(d), n, p) for (d, _), n, p in zip(rows, words, want))):
+            assert d == e and n == m and abs(x - y) < 1e-3 * max(1, n)
+        assert all((r.mean_logp is None) if not r.n_tokens else abs(r.mean_logp * r.n_tokens - r.pll) < 1e-6 for r in got)
     assert lm_score.score(df.limit(0)).count() == 0
 
 
-def test_lm_likelihood_one_by_one_and_learning():
-    rng = np.random.default_rng(2)
-    cycle = rng.integers(0, lm_score.BUCKETS, 40)
-    words = np.r_[[lm_score.PAD] * 2, np.tile(cycle, 300), [lm_score.PAD] * 2]
-    classes = lm_score.Classes(np.bincount(words[2:-2], minlength=lm_score.BUCKETS))
-    net = lm_score.start(classes)
-    before = lm_score.log_likelihood(net, classes, words).sum()
-    for _ in range(30):
-        lm_score.learn(net, classes, words)
-    after = lm_score.log_likelihood(net, classes, words)
-    assert after.sum() > before + 0.2 * abs(before)
-    for i in (2, 3, 50, len(words) - 3):
-        h = np.tanh(net["hidden"] + sum(net["embed"][words[i + k]] * net["place"][j] for j, k in enumerate((-2, -1, 1, 2))))
-        z = h @ net["out"] + net["bias"]
-        want = z[classes.of[words[i]]] - np.log(np.exp(z).sum()) + classes.within[words[i]]
-        assert abs(want - after[i]) < 1e-3
-    per_class = np.bincount(classes.of, np.exp(classes.within), lm_score.CLASSES)
-    assert np.allclose(per_class[per_class > 0], 1)
-
-
-def test_lm_tells_words_of_one_class_apart_by_their_neighbours():
+def strip_of(words):
+    gap = [lm_score.PAD] * 2
+    return np.r_[gap, words, gap].astype(np.int64)
+
+
+def test_lm_is_normalised_starts_at_frequencies_and_learns_from_neighbours():
     rng = np.random.default_rng(4)
-    buckets = rng.permutation(lm_score.BUCKETS)[:1000]
-    classes = lm_score.Classes(np.bincount(np.repeat(buckets, 50), minlength=lm_score.BUCKETS))
-    a, b = next((x, y) for x in buckets for y in buckets if x != y and classes.of[x] == classes.of[y])
-    p, q = buckets[-2:]
-    one, other = [p, p, a, p, p, lm_score.PAD, lm_score.PAD], [q, q, b, q, q, lm_score.PAD, lm_score.PAD]
-    words = np.r_[[lm_score.PAD] * 2, (one + other) * 300]
-    net = lm_score.start_trees(classes)
+    counts = rng.integers(0, 50, lm_score.BUCKETS)
+    classes = lm_score.Classes(counts)
+    net = lm_score.start(classes)
     every = np.r_[[lm_score.PAD] * 2, np.ravel([[x, *[lm_score.PAD] * 2] for x in range(lm_score.BUCKETS)])]
-    assert np.allclose(lm_score.log_likelihood(net, classes, every), lm_score.log_likelihood(lm_score.start(classes), classes, every), atol=1e-3)
-    assert abs(np.exp(lm_score.log_likelihood(net, classes, every)[2::3]).sum() - 1) < 1e-3
-    for _ in range(200):
-        lm_score.learn(net, classes, words)
-    assert abs(np.exp(lm_score.log_likelihood(net, classes, every)[2::3]).sum() - 1) < 1e-3
-    gap = [lm_score.PAD] * 2
-    said = lambda near, x: lm_score.log_likelihood(net, classes, np.array([*gap, near, near, x, near, near, *gap]))[4]
-    assert said(p, a) - said(p, b) > 1 and said(q, b) - said(q, a) > 1
+    said = lm_score.log_likelihood(net, every)[2::3]
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    assert np.allclose(said, np.log(share)[np.argsort(classes.place[:-1])], atol=1e-3)
+    a, b = 70, 71  # of one class
+    p, q = 400, 900
+    one, other = [p, p, a, p, p, lm_score.PAD, lm_score.PAD], [q, q, b, q, q, lm_score.PAD, lm_score.PAD]
+    for _ in range(60):
+        lm_score.learn(net, strip_of((one + other) * 300))
+    assert abs(np.exp(lm_score.log_likelihood(net, every)[2::3]).sum() - 1) < 1e-3
+    likely = lambda near, x: lm_score.log_likelihood(net, strip_of([near, near, x, near, near]))[4]
+    assert likely(p, a) - likely(p, b) > 1 and likely(q, b) - likely(q, a) > 1
+
+
+def test_lm_gains_over_frequency_on_held_out_texts():
+    import duckdb
+
+    texts = [x.encode() for (x,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    from collections import Counter
+
+    counts = Counter(w for t in texts for w in lm_score.words_of(t))
+    numbers = lm_score.Numbers(list(counts.items()))
+    mass = np.zeros(lm_score.BUCKETS, np.int64)
+    for w, n in counts.items():
+        mass[numbers[w]] += n
+    classes = lm_score.Classes(mass)
+    coded = [classes.place[np.array([numbers[w] for w in lm_score.words_of(t)], np.int64)] for t in texts]
+    net, frequency = lm_score.start(classes), lm_score.start(classes)
+    for _ in range(4):
+        for _, _, words in lm_score.strips((0, c) for i, c in enumerate(coded) if i % 10):
+            lm_score.learn(net, words)
+    held = [w for _, _, w in lm_score.strips((0, c) for c in coded[::10])]
+    n = sum((w != lm_score.PAD).sum() for w in held)
+    gain = sum(lm_score.log_likelihood(net, w).sum() - lm_score.log_likelihood(frequency, w).sum() for w in held) / n
+    assert gain > 0.05, gain
 
 
 def test_lm_scores_do_not_depend_on_partitions(spark, sf_dir):
@@ -82,26 +116,20 @@ def test_lm_scores_do_not_depend_on_partitions(spark, sf_dir):
     assert one.keys() == many.keys() and all((one[k] is None and many[k] is None) or abs(one[k] - many[k]) < 1e-3 for k in one)
 
 
-def colliding(n):
-    """n words of one bucket."""
-    first, out, i = lm_score.tokens(b"v0")[0], [], 0
-    while len(out) < n:
-        if lm_score.tokens(f"v{i}".encode())[0] == first:
-            out.append(f"v{i}")
-        i += 1
-    return out
+def test_lm_rounds():
+    assert lm_score.rounds_of(1) == (1, 1) and lm_score.rounds_of(50 * lm_score.BLOCK) == (50, 3)
+    assert lm_score.rounds_of(10**13)[1] == lm_score.MOST
 
 
-def test_lm_words_of_one_bucket_have_their_own_counts(spark):
-    often, rare = colliding(2)
-    df = frame(spark, [(i, f"a {often} b") for i in range(63)] + [(63, f"a {rare} b"), (None, None)])
-    for share in (1, lm_score.SHARE):  # joined, broadcast
-        got = {r.doc_id: r.pll for r in lm_score.score(df, share=share).collect()}
-        assert abs(got[0] - got[63] - np.log(63)) < 1e-6 and got[None] == 0
+def test_lm_rare_words_have_their_own_counts(spark):
+    texts = [f"a often{i % 2} b" for i in range(60)] + ["a rare b", None]
+    df = frame(spark, [(i, t) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in lm_score.score(df, share=1).collect()}  # all words are joined, and hashed
+    assert got[61].pll == 0
     from foliant.llm.common import id_text
 
     counts = {bytes(r.word).decode(): r.n for r in lm_score.word_counts(id_text(df)).collect()}
-    assert counts == {"a": 64, "b": 64, often: 63, rare: 1}
+    assert counts == {"a": 61, "b": 61, "often0": 30, "often1": 30, "rare": 1}
 
 
 def test_ordinal_classifier(spark):
