@@ -13,8 +13,10 @@ partitions whose items are small enough for it. What shares a signature
 value is a candidate and is verified by counting the very shingles.
 
 Null and empty texts have no shingles: they leak nothing and, as items, are
-leaked by nothing. A repeated item or document row is matched like any other,
-and pairs are returned once. A null doc_id is kept as null.
+leaked by nothing. Rows are matched one by one, whatever their ids: every text
+of an item id is an item of its own, and every document row is held against it.
+A pair of ids is returned once, for the text that is contained most, then has most
+shingles. Null ids, of documents and items, are kept as null.
 """
 
 from __future__ import annotations
@@ -52,45 +54,56 @@ def _shingles(words: str, size: int) -> str:
 
 
 def signatures(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """h, item_id, least_size (shingles that a document needs): the items' signatures by size partition."""
-    hashed = items.select("item_id", F.array_distinct(_hashes("words", size)).alias("hs")).where("size(hs) > 0")
-    each = hashed.select("item_id", F.size("hs").alias("q"), F.explode("hs").alias("h"))
+    """sig, item, signature, least_size (shingles that a document needs) for every value of the items' signatures, by size partition; items: item (a key), words."""
+    hashed = items.select("item", F.array_distinct(_hashes("words", size)).alias("hs")).where("size(hs) > 0")
+    each = hashed.select("item", F.size("hs").alias("q"), F.explode("hs").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("shared"))
-    ordered = each.join(shared, "h").groupBy("item_id", "q").agg(F.array_sort(F.collect_list(F.struct("shared", "h"))).alias("order"))
+    ordered = each.join(shared, "h").groupBy("item", "q").agg(F.array_sort(F.collect_list(F.struct("shared", "h"))).alias("order"))
     upper = F.expr("cast(pow(2, ceil(log2(q))) as int)")
     return (
         ordered.withColumn("upper", upper)
         .withColumn("m", F.expr(f"upper - cast(ceil({LEAST} * upper / {OF}) as int) + 1"))
-        .select("item_id", F.expr(f"cast(ceil({LEAST} * (upper / 2) / {OF}) as int)").alias("least_size"), F.explode(F.expr("slice(order, 1, m)")).alias("s"))
-        .select(F.col("s.h").alias("sig"), "item_id", "least_size")
+        .select("item", F.expr(f"cast(ceil({LEAST} * (upper / 2) / {OF}) as int)").alias("least_size"), F.expr("transform(slice(order, 1, m), x -> x.h)").alias("signature"))
+        .select(F.explode("signature").alias("sig"), "item", "signature", "least_size")
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_shared: each pair with n_shared of 0.8 n_shingles at least, once."""
+def _pairs(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> DataFrame:
+    """Of docs (doc_id, own: a hash of the text, text), every row with each item that it leaks: doc_id, own, item_id, n_shingles, n_shared."""
     items = id_text(benchmark, "item_id", "text", binary=False).select(F.col("doc_id").alias("item_id"), _words(F.col("text")).alias("words"))
-    items = items.where(F.size("words") > 0).groupBy("item_id", "words").agg(F.lit(0).alias("once")).drop("once")
-    texts = items.select("item_id", F.expr(_shingles("words", size)).alias("item_shingles")).withColumn("q", F.size("item_shingles"))
+    items = items.where(F.size("words") > 0).groupBy("item_id", "words").agg(F.xxhash64(F.coalesce("item_id", F.lit(0)), F.col("item_id").isNull(), "words").alias("item"))
+    texts = items.select("item", "item_id", F.expr(_shingles("words", size)).alias("item_shingles")).withColumn("q", F.size("item_shingles"))
     marks = signatures(items, size)
     small = (benchmark.agg(F.sum(F.octet_length(benchmark["text"].cast("string"))).alias("b")).first()["b"] or 0) <= broadcast_bytes
     spread = F.broadcast if small else (lambda df: df)
 
-    hashed = id_text(docs, id_col, text_col, binary=False).select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", "words", F.array_distinct(_hashes("words", size)).alias("hs"))
+    hashed = docs.select("doc_id", "own", _words(F.col("text")).alias("words")).select("doc_id", "own", "words", F.array_distinct(_hashes("words", size)).alias("hs"))
     # explode() would have the optimizer test the array's size next to the scan, by making the array once more.
-    probes = hashed.select("doc_id", "words", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))
+    probes = hashed.select("doc_id", "own", "words", "hs", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))
     # Nor may it test the size for null there.
     near = (F.col("h") == F.col("sig")) & (F.coalesce("n", F.lit(0)) >= F.col("least_size"))
-    if small:  # no row is moved: the words stand beside what is looked up
-        candidates = probes.join(spread(marks), near).select("doc_id", "words", "item_id")
+    if small:  # no row is moved: the words stand beside what is looked up, and an item's first value that the row holds stands for the others
+        met = probes.join(spread(marks), near).where(F.element_at(F.array_intersect("signature", "hs"), 1) == F.col("h"))
+        candidates = met.select("doc_id", "own", "words", "item")
     else:
-        found = probes.select("doc_id", "n", "h").join(marks, near).select(F.col("doc_id").alias("found"), "item_id").distinct()
-        candidates = hashed.join(found, hashed["doc_id"].eqNullSafe(found["found"])).select("doc_id", "words", "item_id")
+        found = probes.select("doc_id", "own", "n", "h").join(marks, near).select(F.col("doc_id").alias("found"), F.col("own").alias("found_own"), "item").distinct()
+        same = hashed["doc_id"].eqNullSafe(found["found"]) & (hashed["own"] == found["found_own"])
+        candidates = hashed.join(found, same).select("doc_id", "own", "words", "item")
     shared = F.expr(f"size(array_intersect(item_shingles, {_shingles('words', size)}))")
-    verified = candidates.join(spread(texts), "item_id").select("doc_id", "item_id", F.col("q").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
-    return verified.where(F.col("n_shared") * OF >= F.col("n_shingles") * LEAST).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    verified = candidates.join(spread(texts), "item").select("doc_id", "own", "item_id", F.col("q").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+    return verified.where(F.col("n_shared") * OF >= F.col("n_shingles") * LEAST)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_shared: each pair with n_shared of 0.8 n_shingles at least, once."""
+    rows = id_text(docs, id_col, text_col, binary=False).withColumn("own", F.xxhash64("text"))
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("part"), "n_shingles", "n_shared")).alias("best")
+    return _pairs(rows, benchmark, size, broadcast_bytes).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_shared")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that leak no item, with all their columns; those without an id stay unless a row without an id leaks."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__leak"]), "left_anti")
+    """The rows that leak no item, with all their columns; each is judged by its own text, whatever other rows have its id."""
+    rows = id_text(docs, id_col, text_col, binary=False).withColumn("own", F.xxhash64("text"))
+    found = _pairs(rows, benchmark, SIZE, BROADCAST_BYTES).select(F.col("doc_id").alias("__leak"), F.col("own").alias("__text")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(found["__leak"]) & (F.xxhash64(docs[text_col].cast("string")) == found["__text"])
+    return docs.join(found, same, "left_anti")

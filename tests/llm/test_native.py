@@ -17,35 +17,61 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def leaking(docs, items):
+    """(doc_id, item_id): (n_shingles, n_shared) by comparing all rows."""
+    want = {}
+    for d, text in docs:
+        for i, t in items:
+            q, have = shingles(t), shingles(text)
+            if q and 5 * len(q & have) >= 4 * len(q):
+                want[d, i] = max(want.get((d, i), (0, 0, 0)), (len(q & have) / len(q), len(q), len(q & have)))
+    return {k: v[1:] for k, v in want.items()}
+
+
+def words(rng, n):
+    return " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randrange(30)) for _ in range(n))
+
+
+ITEMS = "item_id long, text string"
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontamination(spark, limit):
     rng = random.Random(7)
-    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randrange(30))
-    items = [(i, " ".join(word() for _ in range(rng.choice([3, 6, 12, 25, 59])))) for i in range(30)] + [(100, None), (101, ""), (5, "same id other text with quite enough words")]
-    docs = [(1, None), (2, ""), (3, "!!"), (None, "x " + items[4][1] + " y"), (9, items[0][1]), (9, items[0][1])]
+    items = [(i, words(rng, rng.choice([3, 6, 12, 25, 59]))) for i in range(30)] + [(100, None), (101, ""), (5, "same id other text with quite enough words"), (None, words(rng, 14)), (None, words(rng, 14))]
+    docs = [(1, None), (2, ""), (3, "!!"), (None, "x " + items[4][1] + " y"), (None, words(rng, 20)), (9, items[0][1]), (9, items[0][1]), (9, items[-1][1]), (10, words(rng, 20000) + " " + items[3][1])]
     for i in range(80):
-        words = " ".join(word() for _ in range(rng.randrange(300))).split()
+        text = words(rng, rng.randrange(300)).split()
         for _ in range(rng.randrange(3)):
             passage = rng.choice(items[:30])[1].upper().split()
             for _ in range(rng.randrange(4)):
-                passage[rng.randrange(len(passage))] = word()
-            at = rng.randrange(len(words) + 1)
-            words[at:at] = passage
-        docs.append((1000 + i, ", ".join(words)))
-    want = {}
-    for d, text in docs:
-        for i, t in items:
-            q, have = shingles(t), shingles(text)
-            if q and 5 * len(q & have) >= 4 * len(q):
-                want[d, i] = len(q & have)
+                passage[rng.randrange(len(passage))] = words(rng, 1)
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = passage
+        docs.append((1000 + i, ", ".join(text)))
+    want = leaking(docs, items)
     rows = frame(spark, [(d, t, 1, [2]) for d, t in docs], "doc_id long, text string, item_id int, words array<int>")
-    got = decontaminate.leaks(rows, frame(spark, items, "item_id long, text string"), broadcast_bytes=limit).collect()
-    assert {(r.doc_id, r.item_id): r.n_shared for r in got} == want and len(got) == len(want) and len(want) > 20
-    leaking = {d for d, _ in want}
-    kept = decontaminate.remove_leaks(rows, frame(spark, items, "item_id long, text string"))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in leaking)
-    assert decontaminate.leaks(rows.limit(0), frame(spark, items, "item_id long, text string")).count() == 0
-    assert decontaminate.leaks(rows, frame(spark, [], "item_id long, text string")).count() == 0
+    got = decontaminate.leaks(rows, frame(spark, items, ITEMS), broadcast_bytes=limit).collect()
+    assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in got} == want and len(got) == len(want) and len(want) > 20
+    assert any(i is None for _, i in want)
+    kept = decontaminate.remove_leaks(rows, frame(spark, items, ITEMS))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(d), str(t)) for d, t in docs if not leaking([(d, t)], items))
+    assert decontaminate.leaks(rows.limit(0), frame(spark, items, ITEMS)).count() == 0
+    assert decontaminate.leaks(rows, frame(spark, [], ITEMS)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination_of_items_with_equal_ids(spark, limit):
+    rng = random.Random(12)
+    items = [(i // 2, words(rng, 20)) for i in range(120)]
+    docs = []
+    for k, (_, t) in enumerate(items):  # a fifth of the shingles goes
+        text = t.split()
+        text[k % 3 or -1] = "other"
+        docs.append((k, " ".join(text)))
+    want = leaking(docs, items)
+    got = decontaminate.leaks(frame(spark, docs), frame(spark, items, ITEMS), broadcast_bytes=limit).collect()
+    assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in got} == want and len(want) == 120
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
