@@ -9,7 +9,10 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key that makes up one in so many rows or more is looked up in a broadcast table, of so many rows at most.
+SHARE_KEYS = 1 << 14
 #: Python-side operators hand on a batch whenever it holds this many bytes of payload.
 FLUSH_BYTES = 4 << 20
 
@@ -54,10 +57,12 @@ def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and the session is local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         named = getattr(shared_dir, "own", None)
         if named is None:
             named = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="foliant-")
@@ -71,6 +76,31 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], share: int = SHARE_KEYS) -> DataFrame:
+    """left with the other columns of right (null where there is none), whose `keys` are unique; both have them by these names.
+
+    Rows of keys that make up 1 / `share` of left or more, at most `share`
+    keys, stay where they are: their part of right is broadcast. Null keys match
+    nothing and aren't moved. left is read several times.
+    """
+    known = left.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    rows = left.agg(F.count(F.lit(1)).alias("rows"))
+    heavy = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rows), F.col("n") * share >= F.col("rows")).select(*keys)
+    often = known.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, "left")
+    others = known.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, "left")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c not in keys]
+    unknown = left.where(" OR ".join(f"{k} IS NULL" for k in keys)).select(*left.columns, *empty)
+    columns = [*left.columns, *(c for c in right.columns if c not in keys)]
+    return often.select(*columns).union(others.select(*columns)).union(unknown.select(*columns))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it one that df has no column of."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def cut(spark: SparkSession, df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(spark)

@@ -8,8 +8,6 @@ has no words: it fails too_few_words.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -105,8 +103,7 @@ def apply_policy(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def filter_rows(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns as they are, that the policy keeps; measured in place, without a join."""
-    condition = " OR ".join(f"({rule})" for name, rule in RULES if name in POLICIES[policy])
+    """The rows of df, with all their columns as they are, that the policy keeps: the ledger stands beside each row, without a join."""
 
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def measured(texts: pd.Series) -> pd.DataFrame:
@@ -114,7 +111,7 @@ def filter_rows(df: DataFrame, policy: str = "v1", text_col: str = "text") -> Da
 
     text = F.coalesce(df[text_col].cast("string").cast("binary"), F.lit(b""))
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("__row"), measured(text).alias("__m"))
-    kept = rows.where(F.expr(f"NOT ({re.sub(r'(n_[a-z_]+|word_chars)', r'__m.' + chr(92) + '1', condition)})"))
+    kept = apply_policy(rows.select("__row", "__m.*").withColumn("failed_bits", failure_bits()), policy).where("kept")
     return kept.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns))
 
 

@@ -12,20 +12,18 @@ task; components are then found by repeated minimum labels.
 
 Null and empty texts have no word and the fingerprint zero, and link like any
 other. Rows with a null id have a fingerprint and no component. Repeated rows
-stay repeated.
+stay repeated, but for keep_one().
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batched, cut, id_text, pairs
+from foliant.llm.common import cut, id_text, look_up, pairs, unused
 
 MAX_DIFFERENCES = 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -55,15 +53,22 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def _own(text: Column) -> Column:
+    """What tells texts apart: a null text is as an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id and code (the fingerprint as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("code", pa.int64())])
+    """doc_id, own (a hash of the text) and code (the fingerprint as a signed long) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("code", pa.int64())])
 
     def run(batches):
-        rows = ((doc_id, int(np.uint64(fingerprint(text or b"", size)).astype(np.int64))) for doc_id, text in pairs(batches))
-        yield from batched(rows, schema, lambda row: 16)
+        for batch in batches:
+            codes = [fingerprint(text or b"", size) for _, text in pairs([batch])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(codes, np.uint64).view(np.int64))], schema=schema)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, code long")
+    rows = id_text(df, id_col, text_col)
+    return rows.withColumn("own", _own(F.col("text"))).mapInArrow(run, "doc_id long, own long, code long")
 
 
 def _rotated(codes: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -205,36 +210,57 @@ def links(codes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     return keyed.repartition("node", "sub").mapInArrow(run, "code long, root long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label for the nodes of edges (a, b): label is the least node of its component.
 
     Each round every node takes the least label among its own and its
     neighbours', then its label's label. Rounds end when nothing changes, and each is cut
-    off by a checkpoint. Only a count comes to the driver.
+    off by a checkpoint. Only a count comes to the driver. Nodes with very many
+    neighbours and labels of very many nodes are looked up, not shuffled.
     """
     spark = edges.sparkSession
     both = cut(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = cut(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        closer = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        far = closer.select(F.col("node").alias("via"), F.col("label").alias("jump"))
-        new = cut(spark, closer.join(far, closer["label"] == far["via"], "left").select("node", "was", F.least("label", "jump").alias("label")))
+        near = look_up(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy("a").agg(F.min("label").alias("near"))
+        closer = cut(spark, labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        far = closer.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        new = cut(spark, look_up(closer, far, ["label"]).select("node", "was", F.least("label", "jump").alias("label")))
         changed = new.where("label != was").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
+def _labels(codes: DataFrame, node_rows: int) -> DataFrame:
+    """code, label (the least code of its component) of the distinct codes that are linked with others."""
+    found = links(codes, node_rows)
+    return components(found.select(F.col("code").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "code")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
     """doc_id, code, component_id (the least doc_id reachable by links of at most 3 bits) of every row."""
-    spark = df.sparkSession
-    docs = cut(spark, fingerprints(df, id_col, text_col, size))
+    docs = cut(df.sparkSession, fingerprints(df, id_col, text_col, size).select("doc_id", "code"))
     codes = docs.groupBy("code").agg(F.min("doc_id").alias("least"))
-    found = links(codes.select("code"), node_rows)
-    labels = components(found.select(F.col("code").alias("a"), F.col("root").alias("b")))
-    group = F.coalesce("label", "code")
-    member = codes.join(labels, codes["code"] == labels["node"], "left").select("code", "least", group.alias("group"))
-    least = member.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_code = member.join(least, "group").select(F.col("code").alias("of"), "component_id")
-    return docs.join(of_code, docs["code"] == of_code["of"], "left").select("doc_id", "code", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = _labels(codes.select("code"), node_rows)
+    of_label = labels.join(codes, "code").groupBy("label").agg(F.min("least").alias("component"))
+    linked = look_up(labels, of_label, ["label"]).select("code", "component")
+    of_code = codes.join(linked, "code", "left").select("code", F.coalesce("component", "least").alias("component_id"))
+    return look_up(docs, of_code, ["code"]).select("doc_id", "code", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Of the rows of df, with all their columns, one of each component: that with the least id (null ids last), then the least hash of its text.
+
+    Rows are told apart by id and text, so rows with one id and texts that aren't
+    near copies all stay. Of rows with equal id and text any one stays.
+    """
+    docs = cut(df.sparkSession, fingerprints(df, id_col, text_col, size))
+    codes = docs.groupBy("code").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own")).alias("first"))
+    group = F.coalesce("label", "code").alias("group")
+    firsts = codes.join(_labels(codes.select("code"), node_rows), "code", "left").groupBy(group).agg(F.min("first").alias("first"))
+    chosen = firsts.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.own").alias("chosen_own"))
+    key, own = unused(df, "_id"), unused(df, "_own")
+    rows = df.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(own, _own(F.col(f"`{text_col}`").cast("string")))
+    same = rows[key].eqNullSafe(chosen["chosen_id"]) & (rows[own] == chosen["chosen_own"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates([key, own]).drop(key, own)

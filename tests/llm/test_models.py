@@ -162,7 +162,7 @@ def small(spark, tmp_path_factory):
 
     d = str(tmp_path_factory.mktemp("sf"))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(d_, t, None, None, None) for d_, t in ODD] + [(9000, "good words " + " ".join(f"v{i}" for i in range(80)) + " token = abcdefghijklmnop1", "en", "s", 5)] * 2, docs.schema)
+    odd = spark.createDataFrame([(d_, t, None, None, None) for d_, t in ODD] + [(9000, "good words " + " ".join(f"v{i}" for i in range(80)) + " token = abcdefghijklmnop1", "en", "s", 5), (9001, " ".join(f"one{i}" for i in range(90)), "en", "s", 5), (9001, " ".join(f"two{i}" for i in range(90)), "en", "s", 5)] * 2, docs.schema)
     docs.unionByName(odd).write.parquet(f"{d}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{d}/benchmark.parquet")
     return d
@@ -178,8 +178,11 @@ def test_pipeline(spark, small):
         return not any(eval(c, {}, m) for _, c in quality_rules.RULES)
 
     rows = [r for r in rows if good(r[1])]
-    least = brute_components([(d, brute_code(t)) for d, t in rows])
-    rows = [(d, t) for d, t in dict.fromkeys(rows) if d is None or least[d, brute_code(t)] == d]
+    group = brute_components([(i, brute_code(t)) for i, (_, t) in enumerate(rows)])
+    first = {}
+    for i, (d, t) in enumerate(rows):
+        first.setdefault(group[i, brute_code(t)], []).append((d is None, d, t))
+    rows = [min(same, key=lambda x: x[:2])[1:] for same in first.values()]
     rows = [(d, t) for d, t in rows if not any(q and 5 * len(q & shingles(t)) >= 4 * len(q) for q in items)]
     c = bpe.Codec(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     want = {}
@@ -191,8 +194,9 @@ def test_pipeline(spark, small):
             if s >= at:
                 out += t[at:s] + "[SECRET]"
             at = max(at, e)
-        want[d] = c.encoding.encode_ordinary(out + t[at:])
-    assert {r.doc_id: r.token_ids for r in got} == want and len(got) == len(rows) and 9000 in want
+        want[d, out + t[at:]] = c.encoding.encode_ordinary(out + t[at:])
+    assert {(r.doc_id, c.decode(r.token_ids).decode()): r.token_ids for r in got} == want and len(got) == len(rows)
+    assert sum(d == 9000 for d, _ in want) == 1 and sum(d == 9001 for d, _ in want) == 2
     assert all(r.decoded_ok and r.n_tokens == len(r.token_ids) for r in got)
 
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, quality_rules, simhash, warc
-from foliant.llm.common import shared_path
+from foliant.llm.common import look_up, shared_path
 from foliant.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, n_words string, fingerprint int, token_ids string"
@@ -135,6 +135,36 @@ def test_simhash(spark, sf_dir, node_rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n))
+    base = text(400).split()
+    rows = [(7, text(80)), (7, text(80)), (None, text(80)), (None, text(80)), (None, None), (None, ""), (20, text(60))]
+    rows += [(20, rows[6][1]), (21, rows[6][1]), (None, rows[6][1])] + [(30 + i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(40)]
+    df = spark.createDataFrame([(t, d, 1, 2) for d, t in rows], "text string, doc_id long, _own int, __id int")
+    least = {}
+    parts = brute_components([(i, brute_code(t)) for i, (_, t) in enumerate(rows)])
+    for i, (d, t) in enumerate(rows):
+        g = parts[i, brute_code(t)]
+        least[g] = min(least.get(g, (True, 0, "")), (d is None, d or 0, t or "")) if g in least else (d is None, d or 0, t or "")
+    got = simhash.keep_one(df, node_rows=3)
+    assert got.columns == df.columns
+    found = got.collect()
+    assert len(found) == len(least) and sum(r.doc_id == 7 for r in found) == 2 and sum(r.doc_id is None for r in found) == 3
+    assert {(r.doc_id is None, r.doc_id or 0) for r in found} == {x[:2] for x in least.values()}
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_look_up(spark):
+    rng = random.Random(2)
+    left = [(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, None]), i) for i in range(300)]
+    right = {k: f"v{k}" for k in (1, 2, 3, 9)}
+    a, b = spark.createDataFrame(left, "k int, i int"), spark.createDataFrame(list(right.items()), "k int, v string")
+    for share in (1, 4, 1 << 14):
+        got = sorted((r.i, r.v) for r in look_up(a, b, ["k"], share).collect())
+        assert got == [(i, right.get(k)) for k, i in left]
+
+
 def test_shingle_hash_is_sparks(spark):
     assert spark.sql("select xxhash64('é b c') as h").first().h % (1 << 64) == xxhash.xxh64_intdigest("é b c".encode(), 42)
 
