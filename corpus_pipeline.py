@@ -23,11 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least id; of rows with this id one. Rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(others, F.col("doc_id") == F.col("__other"), "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component: that with the least id, then the least hash of its text. Rows with one id and different texts are different documents."""
+    return simhash.keep_one(docs)
 
 
 def keep_without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,3 +102,13 @@ def test_url_files_of_encoded_and_missing_addresses(spark, tmp_path):
     spark.createDataFrame([(k, u, "a") for k, u in urls.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.file, bool(r.is_url)) for r in QUERIES["q_url_files"](spark, str(tmp_path)).collect()}
     assert got == {1: ("b c.txt", True), 2: ("50%zz", True), 3: ("", False), 4: ("d+e", False)}
+
+
+def test_entry_without_what_the_optional_subpackage_needs():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q_row_group' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
