@@ -5,15 +5,19 @@ document with a smaller id. All positions' suffixes of a large corpus can't be
 sorted together, so those that can't match are told apart first, exactly:
 
 1. A window of LENGTH bytes is marked by the least hash of its GRAM-byte
-   grams. Equal windows have equal marks. Successive windows of one mark are a
-   region, and regions are dealt out by mark.
-2. A region whose bytes also are a region of a smaller document is repeated
-   wholly. Of a mark's different regions only the first documents' remain; where
-   there are two or more, their bytes are called for.
-3. Their suffixes are sorted. The previous and next smaller document in suffix
-   order give each suffix its longest previous factor; those of LENGTH bytes
-   and more are later copies. Marks with very many regions are dealt out by
-   window, equal windows being combined first.
+   grams. Equal windows have equal marks. Successive windows of one mark, at most REGION,
+   are a region, and regions' places are dealt out by mark, without their bytes.
+2. The bytes of regions whose mark two or more documents have are called for,
+   and dealt out by mark. Of equal strings in a batch only the first document's go on.
+3. The suffixes of a mark's strings are sorted and neighbours' longest common
+   prefixes measured. The previous and next smaller document in suffix order
+   give each suffix its longest previous factor; factors of LENGTH bytes
+   and more are removed. Equal strings are neighbours in suffix order, so they are sorted
+   once, and the factors of all but the first document's are the whole strings.
+
+Marks that very many regions have are known before anything is gathered by
+mark: a task that meets more than FLUSH_HOT regions of one hands on one of them in place of
+all. Such regions are called for window by window and dealt out by window.
 
 Texts are UTF-8 bytes, null is empty. Rows without a doc_id are neither
 compared nor changed. Rows with the same id aren't compared with each other,
@@ -23,12 +27,13 @@ and each is judged by its own text. Matches never cross documents.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +42,21 @@ from foliant.llm.common import batched, id_text
 LENGTH, GRAM = 50, 16
 #: Bytes of text hashed together, and regions that a task holds before it sends them off.
 BUFFER, HELD = 1 << 19, 1 << 20
-#: Regions of one mark beyond which its windows are dealt out.
-HOT = 1024
-SETTLED, CALLED, CALLED_HOT = 0, 1, 2
+#: Windows of a region at most.
+REGION = 256
+#: Regions of one mark, in all and in a task's hands, beyond which its windows are dealt out.
+HOT, FLUSH_HOT = 1024, 64
+#: Added to a region's count: it stands for very many of its mark.
+MANY = 1 << 16
+CALLED, CALLED_HOT = 1, 2
+#: Bytes of suffixes compared at once.
+CHUNK = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 9) for b in range(256)], np.uint64)
-_RANGE = np.dtype([("start", "<u4"), ("count", "<u4"), ("check", "<u4"), ("mark", "<u4"), ("kind", "u1")])
-_LATE = np.dtype([("start", "<u4"), ("check", "<u4")])
+_RANGE = np.dtype([("start", "<u4"), ("count", "<u2"), ("mark", "<u4"), ("kind", "u1")])
+_LATE = np.dtype([("start", "<u4"), ("size", "<u4"), ("check", "<u4")])
+_HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,7 +66,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _SPAN = BUFFER + (1 << 16)
-_POWER, _INVERSE = _powers(_BASE, _SPAN), _powers(pow(_BASE, -1, 1 << 64), _SPAN)
+_POWER = _powers(_BASE, _SPAN)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,19 +96,8 @@ def marks(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarra
     return _joined(grams, length - gram + 1, lambda a, b, w: np.minimum(a, b))
 
 
-def _sums(text: np.ndarray) -> np.ndarray:
-    """Running sums that give any substring's hash."""
-    out = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_TABLE[text] * _POWER[: len(text)], out=out[1:])
-    return out
-
-
-def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _mix((sums[end] - sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
-def regions(pieces: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """mark, hash, doc, start, count of the regions of pieces (doc_id, offset, bytes), of BUFFER bytes in all at most (or one piece)."""
+def regions(pieces: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM, most: int = REGION) -> dict[str, np.ndarray]:
+    """mark, doc, start, count of the regions of pieces (doc_id, offset, bytes), of BUFFER bytes in all at most (or one piece)."""
     text = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
     if len(text) < length:
         return {}
@@ -110,10 +111,13 @@ def regions(pieces: list[tuple[int, int, bytes]], length: int = LENGTH, gram: in
     if not len(first):
         return {}
     count = np.add.reduceat(inside.astype(np.int64), first)
-    hashes = _hashes(_sums(text), first, first + count - 1 + length)
+    if (count > most).any():  # cut into parts
+        parts = -(-count // most)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+        first, count = np.repeat(first, parts) + step, np.minimum(np.repeat(count, parts) - step, most)
     piece = of[first]
     start = first - (ends - sizes)[piece] + np.array([o for _, o, _ in pieces])[piece]
-    return {"mark": mark[first], "hash": hashes, "doc": np.array([d for d, _, _ in pieces], np.int64)[piece], "start": start, "count": count}
+    return {"mark": mark[first] & np.uint64(0xFFFFFFFF), "doc": np.array([d for d, _, _ in pieces], np.int64)[piece], "start": start, "count": count}
 
 
 def _pieces(rows: Iterator[tuple[int | None, bytes | None]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -133,25 +137,24 @@ def _pieces(rows: Iterator[tuple[int | None, bytes | None]], length: int) -> Ite
         yield held
 
 
-_PACK = (("mark", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"))
+_PACK = (("mark", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"))
 
 
 def _pack(found: dict[str, np.ndarray]) -> bytes:
     """Columns one after another, the ids as steps, which compress well."""
-    out = [found["hash"].astype("<u8").tobytes(), found["mark"].astype("<u4").tobytes()]
     rest = b"".join([np.diff(found["doc"], prepend=0).astype("<i8").tobytes(), found["start"].astype("<u4").tobytes(), found["count"].astype("<u4").tobytes()])
     # Byte planes: equal high bytes stand together.
     planes = b"".join(np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(-1, w).T).tobytes() for part, w in ((rest[: 8 * len(found["doc"])], 8), (rest[8 * len(found["doc"]) :], 4)))
-    return len(found["doc"]).to_bytes(4, "little") + b"".join(out) + zlib.compress(planes, 1)
+    return len(found["doc"]).to_bytes(4, "little") + found["mark"].astype("<u4").tobytes() + zlib.compress(planes, 1)
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
-    hashes, mark = np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-    planes = np.frombuffer(zlib.decompress(blob[4 + 12 * n :]), np.uint8)
+    mark = np.frombuffer(blob, "<u4", n, 4)
+    planes = np.frombuffer(zlib.decompress(blob[4 + 4 * n :]), np.uint8)
     doc = np.cumsum(np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<i8").ravel())
     rest = np.ascontiguousarray(planes[8 * n :].reshape(4, 2 * n).T).view("<u4").ravel()
-    return {"mark": mark, "hash": hashes, "doc": doc, "start": rest[:n], "count": rest[n:]}
+    return {"mark": mark, "doc": doc, "start": rest[:n], "count": rest[n:]}
 
 
 def _concat(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -180,8 +183,7 @@ def _per_doc(doc: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]
 
 def _ranges(found: dict[str, np.ndarray], kind: np.ndarray) -> np.ndarray:
     out = np.zeros(len(kind), _RANGE)
-    out["start"], out["count"], out["mark"], out["kind"] = found["start"], found["count"], found["mark"] & 0xFFFFFFFF, kind
-    out["check"] = found["hash"] & np.uint64(0xFFFFFFFF)
+    out["start"], out["count"], out["mark"], out["kind"] = found["start"], found["count"], found["mark"], kind
     return out
 
 
@@ -189,29 +191,35 @@ def _take(found: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarr
     return {k: v[which] for k, v in found.items()}
 
 
-def _repeated(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Regions sorted by mark, hash and document, and which of them a smaller document has too."""
-    found = _take(found, np.lexsort((found["start"], found["doc"], found["hash"], found["mark"])))
-    new = _runs(found["mark"], found["hash"])
-    return found, found["doc"] > found["doc"][new][np.cumsum(new) - 1]
+def _by_mark(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Regions sorted by mark; the number of each one's mark; and by mark how many regions it has (MANY and more if that is known) and whether two documents have it."""
+    found = _take(found, np.argsort(found["mark"], kind="stable"))
+    at = np.flatnonzero(_runs(found["mark"]))
+    of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(found["mark"])]))
+    shared = np.minimum.reduceat(found["doc"], at) < np.maximum.reduceat(found["doc"], at)
+    return found, of, np.bincount(of, np.where(found["count"] >= MANY, MANY, 1)), shared
 
 
 _DEALT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("blob", pa.binary())])
 _BY_DOC = pa.schema([("doc_id", pa.int64()), ("blob", pa.binary())])
 
 
-def _scan(n_buckets: int, length: int):
-    """Regions in packs by mark, and (without a pack) ranges that are settled within the task."""
+def _scan(n_buckets: int, length: int, flush_hot: int):
+    """Regions in packs by mark, and (without a pack) ranges of marks that very many regions have."""
 
     def send(held):
-        found, repeated = _repeated(_concat(held))
-        settled = _take(found, repeated)
-        for doc, blob in _per_doc(settled["doc"], _ranges(settled, np.full(repeated.sum(), SETTLED))):
-            yield doc % n_buckets, doc, blob
-        rest = _take(found, ~repeated)
-        bucket = rest["mark"] % np.uint64(n_buckets)
-        order = np.lexsort((rest["start"], rest["doc"], bucket))
-        rest, bucket = _take(rest, order), bucket[order]
+        found, of, n, shared = _by_mark(_concat(held))
+        many = ((n > flush_hot) & shared)[of]
+        if many.any():
+            hot = _take(found, many)
+            for doc, blob in _per_doc(hot["doc"], _ranges(hot, np.full(many.sum(), CALLED_HOT))):
+                yield doc % n_buckets, doc, blob
+            stand = many & np.r_[True, of[1:] != of[:-1]]
+            found["count"] = np.where(stand, found["count"] + MANY, found["count"])
+            found = _take(found, ~many | stand)
+        bucket = found["mark"] % np.uint64(n_buckets)
+        order = np.lexsort((found["start"], found["doc"], bucket))
+        rest, bucket = _take(found, order), bucket[order]
         at = np.flatnonzero(_runs(bucket)) if len(bucket) else []
         for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
             yield int(bucket[a]), None, _pack(_take(rest, slice(a, b)))
@@ -232,20 +240,12 @@ def _scan(n_buckets: int, length: int):
 
 
 def judge(found: dict[str, np.ndarray], hot: int = HOT) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Regions with their kind: SETTLED, or CALLED where another region of the mark could share a window; the rest are left out."""
-    found, repeated = _repeated(found)
-    new_mark = _runs(found["mark"])
-    of = np.cumsum(new_mark) - 1
-    owners = ~repeated
-    differ = np.bincount(of, _runs(found["mark"], found["hash"])) > 1
-    low, high = np.full(of[-1] + 1, np.iinfo(np.int64).max), np.full(of[-1] + 1, np.iinfo(np.int64).min)
-    np.minimum.at(low, of[owners], found["doc"][owners])
-    np.maximum.at(high, of[owners], found["doc"][owners])
-    called = owners & (differ & (low < high))[of]
-    many = np.bincount(of, called) > hot
-    kind = np.where(repeated, SETTLED, np.where(many[of], CALLED_HOT, CALLED))
-    which = repeated | called
-    return _take(found, which), kind[which]
+    """The regions whose mark two or more documents have, with their kind."""
+    found, of, n, shared = _by_mark(found)
+    shared |= n >= MANY
+    found["count"] = np.where(found["count"] >= MANY, found["count"] - MANY, found["count"])
+    which = shared[of]
+    return _take(found, which), np.where(n > hot, CALLED_HOT, CALLED)[of][which]
 
 
 def _settle(hot: int):
@@ -265,53 +265,96 @@ def _settle(hot: int):
     return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
 
 
-def _own_ranges(text: bytes, blobs: list[bytes] | None, length: int) -> np.ndarray:
-    """The ranges that hold for this very text."""
-    ranges = np.frombuffer(b"".join(blobs or ()), _RANGE)
-    ranges = ranges[ranges["start"].astype(np.int64) + ranges["count"] - 1 + length <= len(text)]
-    if not len(ranges):
-        return ranges
-    raw, good = np.frombuffer(text, np.uint8), np.zeros(len(ranges), bool)
-    start, end = ranges["start"].astype(np.int64), ranges["start"].astype(np.int64) + ranges["count"] - 1 + length
-    for at in range(0, len(text), BUFFER):  # a region starts and ends within its part of the text
-        which = np.flatnonzero((start >= at) & (start < at + BUFFER))
-        if len(which):
-            sums = _sums(raw[at : at + BUFFER + length - 1])
-            good[which] = (_hashes(sums, start[which] - at, end[which] - at) & np.uint64(0xFFFFFFFF)) == ranges["check"][which]
-    return ranges[good]
+def first_of_equals(entries: Iterable[tuple[int, int, bytes]]) -> tuple[dict[bytes, list[tuple[int, int]]], list[tuple[int, int, bytes]]]:
+    """Of entries (doc_id, start, string): for each string the least document and its starts; and the entries of later documents."""
+    first: dict[bytes, list[tuple[int, int]]] = {}
+    later = []
+    for doc, start, string in entries:
+        have = first.get(string)
+        if have is None or have[0][0] > doc:
+            if have is not None:
+                later += ((d, s, string) for d, s in have)
+            first[string] = [(doc, start)]
+        elif have[0][0] == doc:
+            have.append((doc, start))
+        else:
+            later.append((doc, start, string))
+    return first, later
+
+
+def _told(found: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(doc_id, records) of what is to be removed: strings (doc_id, start, bytes) that have a smaller document."""
+    records = np.array([(s, len(x), zlib.crc32(x)) for _, s, x in found], _LATE)
+    yield from _per_doc(np.array([d for d, _, _ in found], np.int64), records)
 
 
 def _call(n_buckets: int, length: int):
-    """The called regions' bytes by mark, or window by window for marks with very many; of equal windows in a batch the first document's."""
-    size = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
+    """The called regions' bytes by mark, or window by window for marks with very many; of equal strings in a batch the first document's."""
 
     def rows(batches):
         for batch in batches:
-            windows: dict[bytes, list[tuple[int, int]]] = {}
-            out: dict[int, list[tuple[int, int, bytes]]] = {}
+            called: dict[int, list[tuple[int, int, bytes]]] = {}
             for doc_id, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if not blobs.is_valid:
                     continue
                 text = text.as_py()
-                for start, count, _, mark, kind in _own_ranges(text, blobs.as_py(), length).tolist():
+                for start, count, mark, kind in np.frombuffer(b"".join(blobs.as_py()), _RANGE).tolist():
+                    if start + count - 1 + length > len(text):  # another text of the same id
+                        continue
                     if kind == CALLED:
-                        out.setdefault(mark % n_buckets, []).append((doc_id, start, text[start : start + count - 1 + length]))
-                    elif kind == CALLED_HOT:
+                        called.setdefault(mark % n_buckets, []).append((doc_id, start, text[start : start + count - 1 + length]))
+                    else:
                         for s in range(start, start + count):
-                            windows.setdefault(text[s : s + length], []).append((doc_id, s))
-            for window, at in windows.items():
-                first = min(at)[0]
-                out.setdefault(xxhash.xxh64_intdigest(window) % n_buckets, []).extend((d, s, window) for d, s in at if d == first)
-                late = [(d, s) for d, s in at if d > first]
-                for d, s in late:
-                    yield d % n_buckets, d, np.array([(s, zlib.crc32(window))], _LATE).tobytes()
-            for bucket, entries in out.items():
-                head = np.array([(d, s, len(x)) for d, s, x in entries], size)
-                yield bucket, None, len(entries).to_bytes(4, "little") + head.tobytes() + b"".join(x for _, _, x in entries)
+                            window = text[s : s + length]
+                            called.setdefault(xxhash.xxh64_intdigest(window) % n_buckets, []).append((doc_id, s, window))
+            for bucket, entries in called.items():
+                first, later = first_of_equals(entries)
+                for doc, blob in _told(later):
+                    yield doc % n_buckets, doc, blob
+                head = np.array([(d, s, len(x)) for x, at in first.items() for d, s in at], _HEAD)
+                strings = b"".join(x for x, at in first.items() for _ in at)
+                yield bucket, None, zstandard.compress(len(head).to_bytes(4, "little") + head.tobytes() + strings, 1)
 
     return lambda batches: batched(rows(batches), _DEALT, lambda row: len(row[2]))
 
 
+def _chunks(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CHUNK bytes from each start on, zero from end on; text has CHUNK bytes to spare."""
+    rows = np.lib.stride_tricks.sliding_window_view(text, CHUNK)[np.minimum(start, end)]
+    short = np.flatnonzero(end - start < CHUNK)
+    rows[short] *= np.arange(CHUNK) < (end - start)[short, None]
+    return rows
+
+
+def suffix_order(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes text[start:end], each to its own end, and what each shares with the one before it in that order."""
+    text = np.r_[text, np.zeros(CHUNK, np.uint8)]
+    width = f"S{CHUNK}"
+    n = len(start)
+    order = np.argsort(_chunks(text, start, end).view(width).ravel(), kind="stable")
+    lcp = np.zeros(n, np.int64)
+    group, which, depth = np.zeros(n, np.int64), np.arange(n), 0
+    while len(which):
+        # `which` are places in the order that stand in runs of equal prefixes so far; find what they share from here on.
+        at = order[which]
+        rows = _chunks(text, start[at] + depth, end[at])
+        differ = rows[1:] != rows[:-1]
+        apart = differ.any(1)
+        here = np.minimum(np.where(apart, differ.argmax(1), CHUNK), np.maximum(np.minimum(end[at[1:]] - start[at[1:]], end[at[:-1]] - start[at[:-1]]) - depth, 0))
+        together = np.r_[False, group[1:] == group[:-1]]
+        lcp[which[1:]] += np.where(together[1:], here, 0)
+        # Equal over the whole chunk, so far: sorted by what follows.
+        equal = np.r_[False, together[1:] & ~apart & (here == CHUNK)]
+        run = np.cumsum(~equal)
+        more = equal.copy()
+        more[:-1] |= equal[1:]
+        which, group, depth = which[more], run[more], depth + CHUNK
+        if len(which):
+            keys = _chunks(text, start[order[which]] + depth, end[order[which]]).view(width).ravel()
+            order[which] = order[which][np.lexsort((keys, group))]
+    return order, lcp
+
+
 def previous_factors(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """For suffixes in suffix order, the longest prefix that each shares with one of a smaller document.
 
@@ -338,50 +381,79 @@ def _previous_smaller(docs: list[int], shared: list[int]) -> list[int]:
     return best
 
 
-def later_copies(entries: list[tuple[int, int, bytes]], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, start, check) of the windows in entries (doc_id, start, bytes) that one of a smaller document equals."""
-    text = np.frombuffer(b"".join(x for _, _, x in entries), np.uint8)
-    sizes = np.array([len(x) for _, _, x in entries])
-    starts = np.cumsum(sizes) - sizes
+def factors(doc: np.ndarray, lcp: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """previous_factors() where they are `length` at least, else 0: runs that share less needn't be looked at together."""
+    full = lcp >= length
+    run = np.cumsum(~full) - 1
+    size = np.bincount(run)[run] if len(run) else run
+    out = np.zeros(len(doc), np.int64)
+    second = np.flatnonzero(full & (size == 2))  # two suffixes: the larger document's has the factor
+    out[np.where(doc[second] > doc[second - 1], second, second - 1)] = np.where(doc[second] != doc[second - 1], lcp[second], 0)
+    many = np.flatnonzero(size > 2)
+    found = previous_factors(doc[many], np.where(full, lcp, 0)[many])
+    out[many] = found
+    return np.where(out >= length, out, 0)
+
+
+def _could_match(text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at `start` have the hash of another one; equal windows have equal hashes."""
+    hashes = _mix(_joined(_TABLE[text], length, lambda a, b, w: a + b * _POWER[w]))[start]
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    out = np.zeros(len(start), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def later_copies(entries: Iterable[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+    """The runs (doc_id, start, bytes) of entries, of `length` bytes at least each, that factors shared with smaller documents cover."""
+    first, later = first_of_equals(entries)
+    if not first:
+        return later
+    strings = list(first)
+    # A byte between strings keeps their runs apart.
+    text = np.frombuffer(b"\0".join(strings), np.uint8)
+    sizes = np.array([len(x) for x in strings])
+    begin = np.cumsum(sizes + 1) - sizes - 1
     n = sizes - length + 1
-    of = np.repeat(np.arange(len(entries)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    prefixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts[of] + at])
-    order = np.argsort(prefixes.view(f"S{length}").ravel(), kind="stable")
-    prefixes, of, at = prefixes[order], of[order], at[order]
-    doc = np.array([d for d, _, _ in entries], np.int64)[of]
-    differ = prefixes[1:] != prefixes[:-1]
-    lcp = np.r_[0, np.where(differ.any(1), differ.argmax(1), length)].astype(np.int64)
-    # Only suffixes that equal a neighbour over the whole length can be later copies.
-    full = lcp == length
-    group = full.copy()
-    group[:-1] |= full[1:]
-    which = np.flatnonzero(group)
-    factor = previous_factors(doc[which], lcp[which])
-    for r in which[factor >= length]:
-        yield int(doc[r]), entries[of[r]][1] + int(at[r]), zlib.crc32(prefixes[r].tobytes())
+    of = np.repeat(np.arange(len(strings)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[of]
+    which = np.flatnonzero(_could_match(text, start, length))
+    of, start = of[which], start[which]
+    order, lcp = suffix_order(text, start, (begin + sizes)[of])
+    doc = np.array([first[x][0][0] for x in strings], np.int64)[of]
+    found = factors(doc[order], lcp, length)
+    step = np.zeros(len(text) + 1, np.int64)
+    np.add.at(step, start[order], found > 0)
+    np.add.at(step, start[order] + found, -(found > 0).astype(np.int64))
+    gone = np.cumsum(step[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+    runs = np.searchsorted(begin, edges[::2], "right") - 1
+    for k, a, b in zip(runs.tolist(), (edges[::2] - begin[runs]).tolist(), (edges[1::2] - begin[runs]).tolist(), strict=True):
+        later += ((d, s + a, strings[k][a:b]) for d, s in first[strings[k]])
+    return later
 
 
 def _copies(length: int):
-    def unpack(blob):
+    def unpack(packed):
+        blob = zstandard.decompress(packed)
         n = int.from_bytes(blob[:4], "little")
-        at = 4 + 16 * n
-        for d, s, size in np.frombuffer(blob, np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")]), n, 4).tolist():
+        at = 4 + _HEAD.itemsize * n
+        for d, s, size in np.frombuffer(blob, _HEAD, n, 4).tolist():
             yield d, s, blob[at : at + size]
             at += size
 
     def rows(batches):
         rows_ = ((b, d, x) for batch in batches for b, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, same in groupby(rows_, lambda e: e[0]):
-            entries = []
+            packs = []
             for _, doc, blob in same:
                 if doc is None:
-                    entries.extend(unpack(blob))
+                    packs.append(blob)
                 else:
                     yield doc, blob
-            if entries:
-                found = list(later_copies(entries, length))
-                yield from _per_doc(np.array([d for d, _, _ in found], np.int64), np.array([(s, c) for _, s, c in found], _LATE))
+            yield from _told(later_copies((e for blob in packs for e in unpack(blob)), length))
 
     return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
 
@@ -392,22 +464,16 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def _cut_out(length: int):
     def rows(batches):
         for batch in batches:
-            for doc_id, text, ranges, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for doc_id, text, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py() or b""
-                step = None
-                if ranges.is_valid or late.is_valid:
-                    step = np.zeros(len(text) + 1, np.int64)
-                    own = _own_ranges(text, ranges.as_py(), length)
-                    own = own[own["kind"] == SETTLED]
-                    np.add.at(step, own["start"].astype(np.int64), 1)
-                    np.add.at(step, own["start"].astype(np.int64) + own["count"] - 1 + length, -1)
-                    for s, check in np.frombuffer(b"".join(late.as_py() or ()), _LATE).tolist():
-                        if s + length <= len(text) and zlib.crc32(text[s : s + length]) == check:
-                            step[s] += 1
-                            step[s + length] -= 1
-                if step is None or not step.any():
+                if not late.is_valid:
                     yield doc_id, len(text), 0, 0, [], text
                     continue
+                step = np.zeros(len(text) + 1, np.int64)
+                for s, size, check in np.frombuffer(b"".join(late.as_py()), _LATE).tolist():
+                    if s + size <= len(text) and zlib.crc32(text[s : s + size]) == check:  # not another text of the same id
+                        step[s] += 1
+                        step[s + size] -= 1
                 gone = np.cumsum(step[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 yield doc_id, len(text), int(gone.sum()), len(edges) // 2, edges.tolist(), np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -415,7 +481,7 @@ def _cut_out(length: int):
     return lambda batches: batched(rows(batches), _OUT, lambda row: len(row[5]) + 8 * len(row[4]))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, flush_hot: int = FLUSH_HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (starts and ends of the removed runs) and kept (the other bytes) of every row."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -424,14 +490,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = rows.where("doc_id IS NOT NULL")
     by_doc, dealt = "doc_id long, blob binary", "bucket long, doc_id long, blob binary"
     gathered = lambda x, name: x.groupBy("doc_id").agg(F.collect_list("blob").alias(name)).withColumnRenamed("doc_id", f"{name}_of")
-    scanned = docs.mapInArrow(_scan(n_buckets, length), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    scanned = docs.mapInArrow(_scan(n_buckets, length, flush_hot), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
     ranges = gathered(scanned.mapInArrow(_settle(hot), by_doc), "ranges")
     # The texts are dealt out by id once, for the call and for the cut.
     placed = docs.repartition(parts, "doc_id")
-    with_ranges = placed.join(ranges, placed["doc_id"] == ranges["ranges_of"], "left").select("doc_id", "text", "ranges")
+    with_ranges = placed.join(ranges, placed["doc_id"] == ranges["ranges_of"], "inner").select("doc_id", "text", "ranges")
     called = with_ranges.mapInArrow(_call(n_buckets, length), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
     late = gathered(called.mapInArrow(_copies(length), by_doc), "late")
-    judged = with_ranges.join(late, with_ranges["doc_id"] == late["late_of"], "left").select("doc_id", "text", "ranges", "late")
-    none = F.lit(None).cast("array<binary>")
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("ranges"), none.alias("late"))
+    judged = placed.join(late, placed["doc_id"] == late["late_of"], "left").select("doc_id", "text", "late")
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("late"))
     return judged.union(unnamed).mapInArrow(_cut_out(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")

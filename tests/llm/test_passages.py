@@ -31,8 +31,8 @@ def got(df, **kw):
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in passages.remove_repeats(df, **kw).collect())
 
 
-@pytest.mark.parametrize("hot", [passages.HOT, 1])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "flush_hot"), [(passages.HOT, passages.FLUSH_HOT), (1, 1 << 20), (1, 1)])
+def test_against_brute_force(spark, hot, flush_hot):
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     shared = [text(rng.choice([40, 49, 50, 51, 80, 300])) for _ in range(12)]
@@ -41,7 +41,7 @@ def test_against_brute_force(spark, hot):
     rows += [(100, shared[5] + "other text with an old id"), (120, rows[40][1]), rows[30], rows[30]]
     df = spark.createDataFrame([(d, t, 3, "s") for d, t in rows], "doc_id long, text string, n_bytes int, kept string")
     want = brute(rows)
-    assert got(df, hot=hot) == want
+    assert got(df, hot=hot, flush_hot=flush_hot) == want
     assert sum(r[2] for r in want) > 3000
     assert got(df.limit(0)) == []
 
@@ -57,7 +57,8 @@ def test_long_texts(spark, monkeypatch):
     text = "".join(rng.choice("abcdefgh") for _ in range(9000))
     rows = [(1, text), (2, "x" + text[100:8000] + "y"), (3, text[650:760])]
     pieces = list(passages._pieces(iter([(d, t.encode()) for d, t in rows]), 50))
-    found = passages._concat([passages.regions(p) for p in pieces])
+    found = passages._concat([passages.regions(p, most=7) for p in pieces])
+    assert found["count"].max() == 7
     for d, t in rows:  # the regions cover each window once
         mine = found["doc"] == d
         at = sorted(s + k for s, c in zip(found["start"][mine], found["count"][mine]) for k in range(c))
@@ -78,3 +79,46 @@ def test_pack():
     found = {k: rng.integers(0, 1000, 50).astype(t) for k, t in passages._PACK}
     back = passages._unpack(passages._pack(found))
     assert all((back[k] == found[k]).all() for k in found)
+
+
+def test_suffix_order_against_sorting():
+    rng = random.Random(3)
+    for alphabet, longest in ((b"ab", 40), (b"a", 300), (b"abcd\0", 200), (b"ab", 400)):
+        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(1, longest))) for _ in range(12)]
+        strings += [strings[0] * 3, strings[1] + strings[2]]
+        text = b"".join(strings)
+        begin = np.cumsum([0, *map(len, strings)])
+        start = np.arange(len(text))
+        end = np.repeat(begin[1:], [len(x) for x in strings])
+        order, lcp = passages.suffix_order(np.frombuffer(text, np.uint8), start, end)
+        suffixes = [text[a:b] for a, b in zip(start[order], end[order])]
+        assert sorted(order.tolist()) == start.tolist()
+        plain = [x.rstrip(b"\0") for x in suffixes]
+        assert plain == sorted(plain)  # zero bytes at the end are no matter
+        for r in range(1, len(suffixes)):
+            a, b = suffixes[r - 1], suffixes[r]
+            n = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+            assert lcp[r] == n
+
+
+def test_factors_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(100):
+        n = rng.randrange(1, 30)
+        doc, lcp = np.array([rng.randrange(5) for _ in range(n)]), np.array([0] + [rng.randrange(6) for _ in range(n - 1)])
+        want = passages.previous_factors(doc, lcp)
+        assert passages.factors(doc, lcp, 3).tolist() == np.where(want >= 3, want, 0).tolist()
+
+
+def test_a_mark_that_ten_thousand_documents_have(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = word(70)
+    rows = [(i, word(20) + passage + word(20)) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df) == brute(rows)
+    found = passages._concat([passages.regions(p) for p in passages._pieces(((d, t.encode()) for d, t in rows), 50)])
+    batch = passages.pa.RecordBatch.from_arrays([passages.pa.array([d for d, _ in rows]), passages.pa.array([t.encode() for _, t in rows])], ["doc_id", "text"])
+    packs = [b for out in passages._scan(8, 50, passages.FLUSH_HOT)([batch]) for d, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist()) if d is None]
+    marks = np.concatenate([passages._unpack(b)["mark"] for b in packs])
+    assert np.unique(found["mark"], return_counts=True)[1].max() > 9_000 and np.unique(marks, return_counts=True)[1].max() <= passages.FLUSH_HOT
