@@ -251,6 +251,7 @@ def judge(found: dict[str, np.ndarray], hot: int = HOT) -> tuple[dict[str, np.nd
 def _settle(hot: int):
     def rows(batches):
         entries = ((b, d, x) for batch in batches for b, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held, n = [], 0
         for _, same in groupby(entries, lambda e: e[0]):
             packs = []
             for _, doc, blob in same:
@@ -260,7 +261,13 @@ def _settle(hot: int):
                     yield doc, blob
             if packs:
                 found, kind = judge(_concat(packs), hot)
-                yield from _per_doc(found["doc"], _ranges(found, kind))
+                held.append((found["doc"], _ranges(found, kind)))
+                n += len(kind)
+            if n > HELD:  # of several buckets at once, a document's ranges stand in one row
+                yield from _per_doc(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield from _per_doc(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
 
@@ -282,10 +289,17 @@ def first_of_equals(entries: Iterable[tuple[int, int, bytes]]) -> tuple[dict[byt
     return first, later
 
 
-def _told(found: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, records) of what is to be removed: strings (doc_id, start, bytes) that have a smaller document."""
-    records = np.array([(s, len(x), zlib.crc32(x)) for _, s, x in found], _LATE)
-    yield from _per_doc(np.array([d for d, _, _ in found], np.int64), records)
+def _told(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, bytes]]:
+    """(doc_id, records) of what is to be removed: doc_id, start, size and check of strings that a smaller document has."""
+    yield from _per_doc(np.array([x[0] for x in found], np.int64), np.array([x[1:] for x in found], _LATE))
+
+
+def _squeeze(batches):
+    """Texts, each compressed by itself, for the way by id."""
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
+    for batch in batches:
+        rows = ((d, pack(t.as_py() or b"")) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        yield from batched(rows, _BY_DOC, lambda row: len(row[1]))
 
 
 def _call(n_buckets: int, length: int):
@@ -297,7 +311,7 @@ def _call(n_buckets: int, length: int):
             for doc_id, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if not blobs.is_valid:
                     continue
-                text = text.as_py()
+                text = zstandard.decompress(text.as_py())
                 for start, count, mark, kind in np.frombuffer(b"".join(blobs.as_py()), _RANGE).tolist():
                     if start + count - 1 + length > len(text):  # another text of the same id
                         continue
@@ -307,13 +321,16 @@ def _call(n_buckets: int, length: int):
                         for s in range(start, start + count):
                             window = text[s : s + length]
                             called.setdefault(xxhash.xxh64_intdigest(window) % n_buckets, []).append((doc_id, s, window))
+            told = []
             for bucket, entries in called.items():
                 first, later = first_of_equals(entries)
-                for doc, blob in _told(later):
-                    yield doc % n_buckets, doc, blob
+                told += ((d, s, len(x), zlib.crc32(x)) for d, s, x in later)
                 head = np.array([(d, s, len(x)) for x, at in first.items() for d, s in at], _HEAD)
+                planes = np.ascontiguousarray(head.view(np.uint8).reshape(-1, _HEAD.itemsize).T).tobytes()
                 strings = b"".join(x for x, at in first.items() for _ in at)
-                yield bucket, None, zstandard.compress(len(head).to_bytes(4, "little") + head.tobytes() + strings, 1)
+                yield bucket, None, zstandard.compress(len(head).to_bytes(4, "little") + planes + strings, 3)
+            for doc, blob in _told(told):
+                yield doc % n_buckets, doc, blob
 
     return lambda batches: batched(rows(batches), _DEALT, lambda row: len(row[2]))
 
@@ -440,12 +457,14 @@ def _copies(length: int):
         blob = zstandard.decompress(packed)
         n = int.from_bytes(blob[:4], "little")
         at = 4 + _HEAD.itemsize * n
-        for d, s, size in np.frombuffer(blob, _HEAD, n, 4).tolist():
+        head = np.ascontiguousarray(np.frombuffer(blob, np.uint8, at - 4, 4).reshape(_HEAD.itemsize, n).T).view(_HEAD).ravel()
+        for d, s, size in head.tolist():
             yield d, s, blob[at : at + size]
             at += size
 
     def rows(batches):
         rows_ = ((b, d, x) for batch in batches for b, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held = []
         for _, same in groupby(rows_, lambda e: e[0]):
             packs = []
             for _, doc, blob in same:
@@ -453,7 +472,11 @@ def _copies(length: int):
                     packs.append(blob)
                 else:
                     yield doc, blob
-            yield from _told(later_copies((e for blob in packs for e in unpack(blob)), length))
+            held += ((d, s, len(x), zlib.crc32(x)) for d, s, x in later_copies((e for blob in packs for e in unpack(blob)), length))
+            if len(held) > HELD // 4:
+                yield from _told(held)
+                held = []
+        yield from _told(held)
 
     return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
 
@@ -465,7 +488,7 @@ def _cut_out(length: int):
     def rows(batches):
         for batch in batches:
             for doc_id, text, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                text = text.as_py() or b""
+                text = zstandard.decompress(text.as_py())
                 if not late.is_valid:
                     yield doc_id, len(text), 0, 0, [], text
                     continue
@@ -493,10 +516,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = docs.mapInArrow(_scan(n_buckets, length, flush_hot), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
     ranges = gathered(scanned.mapInArrow(_settle(hot), by_doc), "ranges")
     # The texts are dealt out by id once, for the call and for the cut.
-    placed = docs.repartition(parts, "doc_id")
-    with_ranges = placed.join(ranges, placed["doc_id"] == ranges["ranges_of"], "inner").select("doc_id", "text", "ranges")
+    placed = docs.mapInArrow(_squeeze, by_doc).repartition(parts, "doc_id")
+    with_ranges = placed.join(ranges, placed["doc_id"] == ranges["ranges_of"], "left").select("doc_id", placed["blob"], "ranges")
     called = with_ranges.mapInArrow(_call(n_buckets, length), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
     late = gathered(called.mapInArrow(_copies(length), by_doc), "late")
-    judged = placed.join(late, placed["doc_id"] == late["late_of"], "left").select("doc_id", "text", "late")
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("late"))
+    judged = placed.join(late, placed["doc_id"] == late["late_of"], "left").select("doc_id", placed["blob"], "late")
+    unnamed = rows.where("doc_id IS NULL").mapInArrow(_squeeze, by_doc).select("doc_id", "blob", F.lit(None).cast("array<binary>").alias("late"))
     return judged.union(unnamed).mapInArrow(_cut_out(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
