@@ -170,15 +170,48 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _per_doc(doc: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, its records' bytes)."""
+def _planes(records: np.ndarray) -> bytes:
+    """Records byte by byte of their width: equal high bytes stand together."""
+    return np.ascontiguousarray(records.view(np.uint8).reshape(-1, records.itemsize).T).tobytes()
+
+
+def _records(planes: bytes, dtype: np.dtype) -> np.ndarray:
+    n = len(planes) // dtype.itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel()
+
+
+def _bundles(doc: np.ndarray, records: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of documents, its documents and their records)."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
-    doc, records = doc[order], records[order]
-    at = np.flatnonzero(_runs(doc))
+    bucket = doc % n_buckets
+    order = np.lexsort((doc, bucket))
+    doc, records, bucket = doc[order], records[order], bucket[order]
+    at = np.flatnonzero(_runs(bucket))
     for a, b in zip(at, np.r_[at[1:], len(doc)], strict=True):
-        yield int(doc[a]), records[a:b].tobytes()
+        yield int(bucket[a]), zstandard.compress(_planes(np.diff(doc[a:b], prepend=0)) + _planes(records[a:b]), 1)
+
+
+def _gather(dtype: np.dtype):
+    """Each document's records in one row, from bundles."""
+
+    def rows(batches):
+        entries = ((b, x) for batch in batches for b, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, same in groupby(entries, lambda e: e[0]):
+            docs, records = [], []
+            for _, blob in same:
+                raw = zstandard.decompress(blob)
+                n = len(raw) // (8 + dtype.itemsize)
+                docs.append(np.cumsum(_records(raw[: 8 * n], np.dtype("<i8"))))
+                records.append(_records(raw[8 * n :], dtype))
+            doc, record = np.concatenate(docs), np.concatenate(records)
+            order = np.lexsort((record["start"], doc))
+            doc, record = doc[order], record[order]
+            at = np.flatnonzero(_runs(doc))
+            for a, b in zip(at, np.r_[at[1:], len(doc)], strict=True):
+                yield int(doc[a]), _planes(record[a:b])
+
+    return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
 
 
 def _ranges(found: dict[str, np.ndarray], kind: np.ndarray) -> np.ndarray:
@@ -200,20 +233,21 @@ def _by_mark(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nd
     return found, of, np.bincount(of, np.where(found["count"] >= MANY, MANY, 1)), shared
 
 
-_DEALT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("blob", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int64()), ("docs", pa.int64()), ("blob", pa.binary())])
+_BUNDLED = pa.schema([("docs", pa.int64()), ("blob", pa.binary())])
 _BY_DOC = pa.schema([("doc_id", pa.int64()), ("blob", pa.binary())])
 
 
-def _scan(n_buckets: int, length: int, flush_hot: int):
-    """Regions in packs by mark, and (without a pack) ranges of marks that very many regions have."""
+def _scan(n_buckets: int, n_docs: int, length: int, flush_hot: int):
+    """Regions in packs by mark, and (with a bucket of documents) ranges of marks that very many regions have."""
 
     def send(held):
         found, of, n, shared = _by_mark(_concat(held))
         many = ((n > flush_hot) & shared)[of]
         if many.any():
             hot = _take(found, many)
-            for doc, blob in _per_doc(hot["doc"], _ranges(hot, np.full(many.sum(), CALLED_HOT))):
-                yield doc % n_buckets, doc, blob
+            for docs, blob in _bundles(hot["doc"], _ranges(hot, np.full(many.sum(), CALLED_HOT)), n_docs):
+                yield docs, docs, blob
             stand = many & np.r_[True, of[1:] != of[:-1]]
             found["count"] = np.where(stand, found["count"] + MANY, found["count"])
             found = _take(found, ~many | stand)
@@ -248,28 +282,28 @@ def judge(found: dict[str, np.ndarray], hot: int = HOT) -> tuple[dict[str, np.nd
     return _take(found, which), np.where(n > hot, CALLED_HOT, CALLED)[of][which]
 
 
-def _settle(hot: int):
+def _settle(hot: int, n_docs: int):
     def rows(batches):
         entries = ((b, d, x) for batch in batches for b, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         held, n = [], 0
         for _, same in groupby(entries, lambda e: e[0]):
             packs = []
-            for _, doc, blob in same:
-                if doc is None:
+            for _, docs, blob in same:
+                if docs is None:
                     packs.append(_unpack(blob))
                 else:
-                    yield doc, blob
+                    yield docs, blob
             if packs:
                 found, kind = judge(_concat(packs), hot)
                 held.append((found["doc"], _ranges(found, kind)))
                 n += len(kind)
-            if n > HELD:  # of several buckets at once, a document's ranges stand in one row
-                yield from _per_doc(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if n > HELD:
+                yield from _bundles(*(np.concatenate(x) for x in zip(*held, strict=True)), n_docs)
                 held, n = [], 0
         if held:
-            yield from _per_doc(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from _bundles(*(np.concatenate(x) for x in zip(*held, strict=True)), n_docs)
 
-    return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
+    return lambda batches: batched(rows(batches), _BUNDLED, lambda row: len(row[1]))
 
 
 def first_of_equals(entries: Iterable[tuple[int, int, bytes]]) -> tuple[dict[bytes, list[tuple[int, int]]], list[tuple[int, int, bytes]]]:
@@ -289,9 +323,9 @@ def first_of_equals(entries: Iterable[tuple[int, int, bytes]]) -> tuple[dict[byt
     return first, later
 
 
-def _told(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, records) of what is to be removed: doc_id, start, size and check of strings that a smaller document has."""
-    yield from _per_doc(np.array([x[0] for x in found], np.int64), np.array([x[1:] for x in found], _LATE))
+def _told(found: list[tuple[int, int, int, int]], n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Bundles of what is to be removed: doc_id, start, size and check of strings that a smaller document has."""
+    yield from _bundles(np.array([x[0] for x in found], np.int64), np.array([x[1:] for x in found], _LATE), n_buckets)
 
 
 def _squeeze(batches):
@@ -302,7 +336,7 @@ def _squeeze(batches):
         yield from batched(rows, _BY_DOC, lambda row: len(row[1]))
 
 
-def _call(n_buckets: int, length: int):
+def _call(n_buckets: int, n_docs: int, length: int):
     """The called regions' bytes by mark, or window by window for marks with very many; of equal strings in a batch the first document's."""
 
     def rows(batches):
@@ -312,7 +346,7 @@ def _call(n_buckets: int, length: int):
                 if not blobs.is_valid:
                     continue
                 text = zstandard.decompress(text.as_py())
-                for start, count, mark, kind in np.frombuffer(b"".join(blobs.as_py()), _RANGE).tolist():
+                for start, count, mark, kind in _records(blobs.as_py(), _RANGE).tolist():
                     if start + count - 1 + length > len(text):  # another text of the same id
                         continue
                     if kind == CALLED:
@@ -326,11 +360,10 @@ def _call(n_buckets: int, length: int):
                 first, later = first_of_equals(entries)
                 told += ((d, s, len(x), zlib.crc32(x)) for d, s, x in later)
                 head = np.array([(d, s, len(x)) for x, at in first.items() for d, s in at], _HEAD)
-                planes = np.ascontiguousarray(head.view(np.uint8).reshape(-1, _HEAD.itemsize).T).tobytes()
                 strings = b"".join(x for x, at in first.items() for _ in at)
-                yield bucket, None, zstandard.compress(len(head).to_bytes(4, "little") + planes + strings, 3)
-            for doc, blob in _told(told):
-                yield doc % n_buckets, doc, blob
+                yield bucket, None, zstandard.compress(len(head).to_bytes(4, "little") + _planes(head) + strings, 3)
+            for docs, blob in _told(told, n_docs):
+                yield docs, docs, blob
 
     return lambda batches: batched(rows(batches), _DEALT, lambda row: len(row[2]))
 
@@ -452,13 +485,12 @@ def later_copies(entries: Iterable[tuple[int, int, bytes]], length: int = LENGTH
     return later
 
 
-def _copies(length: int):
+def _copies(length: int, n_docs: int):
     def unpack(packed):
         blob = zstandard.decompress(packed)
         n = int.from_bytes(blob[:4], "little")
         at = 4 + _HEAD.itemsize * n
-        head = np.ascontiguousarray(np.frombuffer(blob, np.uint8, at - 4, 4).reshape(_HEAD.itemsize, n).T).view(_HEAD).ravel()
-        for d, s, size in head.tolist():
+        for d, s, size in _records(blob[4:at], _HEAD).tolist():
             yield d, s, blob[at : at + size]
             at += size
 
@@ -467,18 +499,18 @@ def _copies(length: int):
         held = []
         for _, same in groupby(rows_, lambda e: e[0]):
             packs = []
-            for _, doc, blob in same:
-                if doc is None:
+            for _, docs, blob in same:
+                if docs is None:
                     packs.append(blob)
                 else:
-                    yield doc, blob
+                    yield docs, blob
             held += ((d, s, len(x), zlib.crc32(x)) for d, s, x in later_copies((e for blob in packs for e in unpack(blob)), length))
             if len(held) > HELD // 4:
-                yield from _told(held)
+                yield from _told(held, n_docs)
                 held = []
-        yield from _told(held)
+        yield from _told(held, n_docs)
 
-    return lambda batches: batched(rows(batches), _BY_DOC, lambda row: len(row[1]))
+    return lambda batches: batched(rows(batches), _BUNDLED, lambda row: len(row[1]))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -493,7 +525,7 @@ def _cut_out(length: int):
                     yield doc_id, len(text), 0, 0, [], text
                     continue
                 step = np.zeros(len(text) + 1, np.int64)
-                for s, size, check in np.frombuffer(b"".join(late.as_py()), _LATE).tolist():
+                for s, size, check in _records(late.as_py(), _LATE).tolist():
                     if s + size <= len(text) and zlib.crc32(text[s : s + size]) == check:  # not another text of the same id
                         step[s] += 1
                         step[s + size] -= 1
@@ -511,15 +543,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_buckets = 4 * parts
     rows = id_text(df, id_col, text_col)
     docs = rows.where("doc_id IS NOT NULL")
-    by_doc, dealt = "doc_id long, blob binary", "bucket long, doc_id long, blob binary"
-    gathered = lambda x, name: x.groupBy("doc_id").agg(F.collect_list("blob").alias(name)).withColumnRenamed("doc_id", f"{name}_of")
-    scanned = docs.mapInArrow(_scan(n_buckets, length, flush_hot), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ranges = gathered(scanned.mapInArrow(_settle(hot), by_doc), "ranges")
+    by_doc, dealt, bundled = "doc_id long, blob binary", "bucket long, docs long, blob binary", "docs long, blob binary"
+
+    def gathered(bundles: DataFrame, dtype: np.dtype, name: str) -> DataFrame:
+        rows = bundles.repartition(parts, "docs").sortWithinPartitions("docs").mapInArrow(_gather(dtype), by_doc)
+        return rows.select(F.col("doc_id").alias(f"{name}_of"), F.col("blob").alias(name))
+
+    scanned = docs.mapInArrow(_scan(n_buckets, parts, length, flush_hot), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    ranges = gathered(scanned.mapInArrow(_settle(hot, parts), bundled), _RANGE, "ranges")
     # The texts are dealt out by id once, for the call and for the cut.
     placed = docs.mapInArrow(_squeeze, by_doc).repartition(parts, "doc_id")
     with_ranges = placed.join(ranges, placed["doc_id"] == ranges["ranges_of"], "left").select("doc_id", placed["blob"], "ranges")
-    called = with_ranges.mapInArrow(_call(n_buckets, length), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    late = gathered(called.mapInArrow(_copies(length), by_doc), "late")
+    called = with_ranges.mapInArrow(_call(n_buckets, parts, length), dealt).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    late = gathered(called.mapInArrow(_copies(length, parts), bundled), _LATE, "late")
     judged = placed.join(late, placed["doc_id"] == late["late_of"], "left").select("doc_id", placed["blob"], "late")
-    unnamed = rows.where("doc_id IS NULL").mapInArrow(_squeeze, by_doc).select("doc_id", "blob", F.lit(None).cast("array<binary>").alias("late"))
+    unnamed = rows.where("doc_id IS NULL").mapInArrow(_squeeze, by_doc).select("doc_id", "blob", F.lit(None).cast("binary").alias("late"))
     return judged.union(unnamed).mapInArrow(_cut_out(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")

@@ -79,6 +79,13 @@ def test_pack():
     found = {k: rng.integers(0, 1000, 50).astype(t) for k, t in passages._PACK}
     back = passages._unpack(passages._pack(found))
     assert all((back[k] == found[k]).all() for k in found)
+    doc, records = rng.integers(-9, 9, 40), np.zeros(40, passages._LATE)
+    records["start"] = np.arange(40)
+    bundles = [*passages._bundles(doc, records, 4)]
+    rows = passages.pa.RecordBatch.from_arrays([passages.pa.array([b for b, _ in sorted(bundles * 2)]), passages.pa.array([x for _, x in sorted(bundles * 2)])], ["docs", "blob"])
+    for out in passages._gather(passages._LATE)([rows]):
+        for d, x in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            assert passages._records(x, passages._LATE)["start"].tolist() == sorted(np.flatnonzero(doc == d).tolist() * 2)
 
 
 def test_suffix_order_against_sorting():
@@ -119,6 +126,6 @@ def test_a_mark_that_ten_thousand_documents_have(spark):
     assert got(df) == brute(rows)
     found = passages._concat([passages.regions(p) for p in passages._pieces(((d, t.encode()) for d, t in rows), 50)])
     batch = passages.pa.RecordBatch.from_arrays([passages.pa.array([d for d, _ in rows]), passages.pa.array([t.encode() for _, t in rows])], ["doc_id", "text"])
-    packs = [b for out in passages._scan(8, 50, passages.FLUSH_HOT)([batch]) for d, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist()) if d is None]
+    packs = [b for out in passages._scan(8, 4, 50, passages.FLUSH_HOT)([batch]) for d, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist()) if d is None]
     marks = np.concatenate([passages._unpack(b)["mark"] for b in packs])
     assert np.unique(found["mark"], return_counts=True)[1].max() > 9_000 and np.unique(marks, return_counts=True)[1].max() <= passages.FLUSH_HOT
