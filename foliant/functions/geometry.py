@@ -277,3 +277,8 @@ def polygon_iou(a: list, b: list) -> float:
         return 0.0
     inter = polygon_area(common_part(a, b))
     return inter / (polygon_area(a) + polygon_area(b) - inter)
+
+
+def height_of(corners: Column) -> Column:
+    """What boxes are sorted by from top to bottom: the sum of their corners' y."""
+    return F.aggregate(corners, F.lit(0.0), lambda n, p: n + _y(p))

@@ -303,3 +303,39 @@ def first_filled(*readings: Column) -> Column:
 def listed(s: Column) -> Column:
     """Numbers separated by slashes as an enumeration."""
     return F.translate(_text(s), "/", "、")
+
+
+def table_texts(rows: Column) -> Column:
+    """A table's rows of cells (structs with text) as rows of texts; a missing text is empty, a missing table has no rows."""
+    return F.coalesce(F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(c["text"].cast("string"), F.lit("")))), F.array().cast("array<array<string>>"))
+
+
+def qr_date(s: Column) -> Column:
+    """The date of a code's yyyymmdd; null if it is none."""
+    return F.when(_text(s).rlike("^[0-9]{8}$"), F.try_to_date(_text(s), "yyyyMMdd"))
+
+
+def date_text(at: Column, with_time: bool = False) -> Column:
+    """A point in time as text, as in F.current_timestamp()."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss" if with_time else "yyyy-MM-dd")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one text `yyyy-MM-dd HH:mm:ss` to another; null if either is none (never the present)."""
+    at = lambda s: F.unix_micros(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")))
+    return (at(end) - at(start)) / 1_000_000
+
+
+# The numbers, of 91, that none of the 80 detector classes has.
+_NO_CLASS = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83)
+
+
+def class_of_91(cls: Column) -> Column:
+    """The number among 91 of one of 80 classes, which leave some numbers out."""
+    numbers = [n for n in range(1, 91) if n not in _NO_CLASS]
+    return F.get(F.array(*map(F.lit, numbers)), cls.cast("int"))
+
+
+def looked_up(values: Column, table: Column) -> Column:
+    """Each value's entry in a table, given as an array."""
+    return F.transform(values, lambda v: F.get(table, v.cast("int")))

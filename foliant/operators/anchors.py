@@ -20,9 +20,10 @@ def ratios(anchors: Anchors) -> Column:
     return F.array(*(g.size_ratio(F.col("w"), F.col("h"), float(w), float(h)) for w, h in anchors))
 
 
-def _fitness(anchors: Anchors, least: float) -> Column:
+def _fitness(anchors: Anchors, least: float, n: Column | None = None) -> Column:
     best = F.array_max(ratios(anchors))
-    return F.avg(F.when(best > least, best).otherwise(0.0))
+    value = F.when(best > least, best).otherwise(0.0)
+    return F.avg(value) if n is None else F.sum(value * n) / F.sum(n)
 
 
 def fit(sizes: DataFrame, anchors: Anchors, threshold: float = 4.0) -> DataFrame:
@@ -44,15 +45,17 @@ def cluster(sizes: DataFrame, n: int, seed: int = 0, rounds: int = 30) -> list[t
 def evolve(sizes: DataFrame, anchors: Anchors, threshold: float = 4.0, rounds: int = 50, brood: int = 20, seed: int = 0) -> list[tuple[float, float]]:
     """The fittest anchors found by random changes. The candidates of a round are judged in one pass over the sizes."""
     dice, least = random.Random(seed), 1 / threshold
-    best, score = [tuple(a) for a in anchors], sizes.agg(_fitness(anchors, least).alias("f")).first()["f"] or 0.0
+    counted, n = sizes.groupBy("w", "h").agg(F.count("*").alias("n")).persist(), F.col("n")  # sizes repeat; the passes are over different ones
+    best, score = [tuple(a) for a in anchors], counted.agg(_fitness(anchors, least, n).alias("f")).first()["f"] or 0.0
 
     def changed(x: float) -> float:
         return max(2.0, x * min(3.0, max(0.3, 1 + dice.random() * dice.gauss(0, 0.1)))) if dice.random() < 0.9 else x
 
     for _ in range(rounds):
         tried = [[(changed(w), changed(h)) for w, h in best] for _ in range(brood)]
-        found = sizes.agg(*(_fitness(c, least).alias(f"f{k}") for k, c in enumerate(tried))).first()
+        found = counted.agg(*(_fitness(c, least, n).alias(f"f{k}") for k, c in enumerate(tried))).first()
         k = max(range(brood), key=lambda k: found[k] or 0.0)
         if (found[k] or 0.0) > score:
             best, score = tried[k], found[k]
+    counted.unpersist()
     return sorted(best, key=lambda a: a[0] * a[1])

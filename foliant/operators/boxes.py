@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,21 +49,78 @@ def _fold(s: Column, clash) -> Column:
     return F.aggregate(s, F.slice(s, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x)), kept).otherwise(F.array_append(kept, x)))
 
 
-def suppress(df: DataFrame, key: Sequence[str], order: Sequence[str], threshold: float, most: int = 300) -> DataFrame:
-    """Non-maximum suppression in each group: by falling confidence, a box goes if a kept one overlaps it more than `threshold`.
+def _kept(boxes: np.ndarray, cls: np.ndarray, threshold: float, most: int) -> list[int]:
+    """Places of the boxes (sorted, the best first) that no kept one of their class overlaps more than `threshold`; `most` at most."""
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    open_, out = np.ones(len(boxes), bool), []
+    while len(out) < most and open_.any():
+        k = int(open_.argmax())
+        out.append(k)
+        side = np.minimum(boxes[:, 2:], boxes[k, 2:]) - np.maximum(boxes[:, :2], boxes[k, :2])
+        inter = np.maximum(side, 0).prod(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            open_ &= ~((inter / (area + area[k] - inter) > threshold) & (cls == cls[k]))
+        open_[k] = False
+    return out
 
-    A group is one page's boxes of one class, which is folded as one array; `order` settles equal confidences.
+
+def suppress(df: DataFrame, page: str, cls: str, order: Sequence[str], threshold: float, most: int = 300, most_in: int = 30000) -> DataFrame:
+    """Non-maximum suppression on each page: by falling confidence, a box goes if a kept one of its class overlaps it more than `threshold`.
+
+    Of a page's boxes the `most_in` best are looked at, and the `most` best kept
+    ones returned, over all classes: these limits are part of the operator. `order` settles equal
+    confidences. A page is one array; Python sees many pages at once and compares each kept box with all others by numpy.
     """
-    rest = [c for c in df.columns if c not in key]
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("__neg"), *order, *(c for c in rest if c not in order))))
-    corners = lambda x: tuple(x[c] for c in ("x1", "y1", "x2", "y2"))
+    rest = [c for c in df.columns if c != page]
+    rows = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("__neg"), *order, *(c for c in rest if c not in order)))), 1, most_in)
+
+    @F.pandas_udf("array<int>")
+    def kept(corners: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([_kept(np.asarray(c, float).reshape(-1, 4), np.asarray(k), threshold, most) for c, k in zip(corners, kinds, strict=True)], dtype=object)
+
+    pages = df.groupBy(page).agg(rows.alias("__s"))
+    corners = F.flatten(F.transform("__s", lambda x: F.array(*(x[c].cast("double") for c in ("x1", "y1", "x2", "y2")))))
+    found = pages.select(page, "__s", F.explode(kept(corners, F.transform("__s", lambda x: x[cls]))).alias("__i")).select(page, F.get("__s", F.col("__i")).alias("__x"))
+    return found.select(*(F.col(c) if c == page else F.col(f"__x.{c}").alias(c) for c in df.columns))
+
+
+def of_classes(df: DataFrame, classes: Sequence, cls: str = "cls") -> DataFrame:
+    """The rows of the given classes."""
+    return df.where(F.col(cls).isin(*classes))
+
+
+def ensemble(*predictions: DataFrame) -> DataFrame:
+    """Several models' or pages' rows as one table, columns matched by name."""
+    out = predictions[0]
+    for more in predictions[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def with_given(predictions: DataFrame, given: DataFrame, conf: str = "conf") -> DataFrame:
+    """Predictions and labels known beforehand, which are sure: confidence 1."""
+    return ensemble(predictions, given.withColumn(conf, F.lit(1.0).cast(predictions.schema[conf].dataType)))
+
+
+def confirmed(df: DataFrame, second: DataFrame, key: Sequence[str], cls: str) -> DataFrame:
+    """The rows for which a second classifier (key, cls) says the same class."""
+    other = second.select(*(F.col(k).alias(f"__{k}") for k in key), F.col(cls).alias("__second"))
+    same = F.col(cls) == F.col("__second")
+    for k in key:
+        same &= F.col(k) == F.col(f"__{k}")
+    return df.join(other, same, "left_semi")
+
+
+def unmatched(rows: DataFrame, matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that no match names."""
+    return rows.join(matched, list(keys), "left_anti")
 
-    def clash(k: Column, x: Column) -> Column:
-        inter = g.intersection(corners(k), corners(x))
-        return inter / (g.area(corners(k)) + g.area(corners(x)) - inter) > threshold
 
-    kept = df.groupBy(*key).agg(rows.alias("__s")).select(*key, F.explode(F.slice(_fold(F.col("__s"), clash), 1, most)).alias("__x"))
-    return kept.select(*(F.col(c) if c in key else F.col(f"__x.{c}").alias(c) for c in df.columns))
+def smallest_half(df: DataFrame, page: str, order: Sequence[str]) -> DataFrame:
+    """Of each page's boxes the half with the least mean side, rounded."""
+    w = Window.partitionBy(page)
+    ranked = df.withColumn("__n", F.row_number().over(w.orderBy(F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1"), *order))).withColumn("__of", F.count("*").over(w))
+    return ranked.where(F.col("__n") <= F.bround(F.col("__of") / 2)).drop("__n", "__of")
 
 
 def greedy_match(found: DataFrame, key: str, left: str, right: str) -> DataFrame:

@@ -46,7 +46,8 @@ def average_precision(curve: DataFrame, cls: str, n_true: DataFrame) -> DataFram
     over the points it passes and no point is made a row. Beyond the last one the
     line falls to 0 at recall 1. Points and recalls are compared as fractions.
     """
-    rows = curve.join(n_true, cls, "right").withColumn("__hit", F.coalesce(F.col("tp") == 1, F.lit(False)))
+    # An inner join, whose larger side can be split where a class has most of the rows; absent classes are added to the result.
+    rows = curve.join(n_true, cls).withColumn("__hit", F.coalesce(F.col("tp") == 1, F.lit(False)))
     t, n = F.col("tp_sum"), F.col("n_true")
     earlier = F.when(t > 1, (t - 1) / (t - 1 + F.col("fp_sum"))).when(F.col("fp_sum") == 0, 1.0).otherwise(0.0)
     left = F.greatest(earlier, F.col("envelope"))
@@ -60,7 +61,99 @@ def average_precision(curve: DataFrame, cls: str, n_true: DataFrame) -> DataFram
     last, reach = F.col("tp") / F.col("__n"), F.col("tp") / n
     tail = F.when(F.col("tp") < n, line(last, F.lit(0.0), reach, F.lit(1.0), up(F.col("tp")), F.lit(99))).otherwise(0.0)
     ap = F.when(F.col("tp") > 0, (F.col("__sum") + tail - F.col("__first") / 2) / 100).otherwise(0.0)
-    return found.select(cls, "n_true", "tp", ap.alias("ap"))
+    own = found.select(F.col(cls).alias("__cls"), F.col("tp").alias("__tp"), ap.alias("__ap"))
+    whole = n_true.join(own, F.col(cls) == F.col("__cls"), "left")
+    return whole.select(cls, "n_true", F.coalesce("__tp", F.lit(0)).alias("tp"), F.coalesce("__ap", F.lit(0.0)).alias("ap"))
+
+
+def class_table(scores: DataFrame, found: DataFrame, cls: str) -> DataFrame:
+    """average_precision()'s rows with fp, precision, recall, f1 and support. found: cls, n (detections of the class)."""
+    rows = scores.join(found.select(F.col(cls).alias("__cls"), F.col("n").alias("__n")), F.col(cls) == F.col("__cls"), "left")
+    tp, n, eps = F.col("tp"), F.coalesce("__n", F.lit(0)), 1e-16
+    p, r = tp / (n + eps), tp / (F.col("n_true") + eps)
+    return rows.select(cls, "ap", "tp", (n - tp).alias("fp"), p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + eps)).alias("f1"), F.col("n_true").alias("support"))
+
+
+def mean_scores(table: DataFrame) -> DataFrame:
+    """One row: mean precision, recall and ap over the classes of class_table()."""
+    return table.agg(F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("ap").alias("mean_ap"))
+
+
+def filled_scores(table: DataFrame, classes: DataFrame, cls: str) -> DataFrame:
+    """cls, ap of all classes: those without a row have the mean."""
+    mean = mean_scores(table).select("mean_ap")  # one row
+    own = table.select(F.col(cls).alias("__cls"), "ap")
+    return classes.select(cls).join(own, F.col(cls) == F.col("__cls"), "left").join(F.broadcast(mean)).select(cls, F.coalesce("ap", "mean_ap").alias("ap"))
+
+
+def image_confidence(df: DataFrame, key: str, cls: str, least: float = 0.25) -> DataFrame:
+    """key, cls, n and mean_conf of an image's detections of at least `least` confidence."""
+    return df.where(F.col("conf") >= least).groupBy(key, cls).agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"))
+
+
+def throughput(df: DataFrame, seconds: Column, group: str) -> DataFrame:
+    """group, n, per_second (rows over the time they took) and latency (mean time of one)."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.try_divide(F.count(seconds), F.sum(seconds)).alias("per_second"), F.avg(seconds).alias("latency"))
+
+
+def dataset_stats(images: DataFrame, labels: DataFrame, classes: DataFrame, key: str, cls: str, split: str) -> DataFrame:
+    """split, cls, instances, images; a class without instances has 0. A row of null cls has all instances, all images and, in unlabelled, those without a label.
+
+    images: key and split, one row each; labels: key and cls, one row per instance; classes: cls.
+    """
+    named = images.select(F.col(key).alias("__key"), split)
+    counts = labels.groupBy(F.col(key).alias("__key"), cls).agg(F.count("*").alias("__n"))  # one row for each image and class
+    per_class = named.join(counts, "__key").groupBy(split, cls).agg(F.sum("__n").alias("instances"), F.count("*").alias("images"))
+    splits = images.select(split).distinct()
+    zero = splits.join(F.broadcast(classes.select(cls))).select(F.col(split).alias("__split"), F.col(cls).alias("__cls"))  # a class list beside three names
+    filled = zero.join(per_class, (F.col("__split") == F.col(split)) & (F.col("__cls") == F.col(cls)), "left")
+    each = filled.select(F.col("__split").alias(split), F.col("__cls").alias(cls), F.coalesce("instances", F.lit(0)).alias("instances"), F.coalesce("images", F.lit(0)).alias("images"), F.lit(None).cast("long").alias("unlabelled"))
+    totals = counts.groupBy("__key").agg(F.sum("__n").alias("__n"))
+    whole = named.join(totals, "__key", "left").groupBy(split).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("instances"), F.count("*").alias("images"), F.count_if(F.col("__n").isNull()).alias("unlabelled"))
+    return each.unionByName(whole.select(split, F.lit(None).cast(classes.schema[cls].dataType).alias(cls), "instances", "images", "unlabelled"))
+
+
+def scan_summary(df: DataFrame, missing: Column, empty: Column, corrupt: Column) -> DataFrame:
+    """One row: files whose labels are found, missing, empty or corrupt; the first that holds counts, null as false."""
+    is_ = [F.coalesce(c, F.lit(False)) for c in (missing, empty, corrupt)]
+    return df.agg(
+        F.count_if(~is_[0] & ~is_[1] & ~is_[2]).alias("found"), F.count_if(is_[0]).alias("missing"), F.count_if(~is_[0] & is_[1]).alias("empty"), F.count_if(~is_[0] & ~is_[1] & is_[2]).alias("corrupt")
+    )
+
+
+def centers(df: DataFrame, cls: str, vector: str, right: Column | None = None) -> DataFrame:
+    """cls, dim, mean of the feature vectors of each class; only of rows that are `right`, if given."""
+    rows = df if right is None else df.where(right)
+    return rows.select(cls, F.posexplode(vector).alias("dim", "__v")).groupBy(cls, F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("__v").cast("double")).alias("mean"))
+
+
+def moments(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, mean and (population) deviation."""
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
+def correlations(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """a, b, corr of every two of the columns, in one pass."""
+    both = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
+    one = df.agg(*(F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(both)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(both)))).alias("r")).select("r.*")
+
+
+def sparsity(df: DataFrame, group: str, array: str) -> DataFrame:
+    """group, n_values and the share of zeros among all values of an array column."""
+    zeros, n = F.sum(F.size(F.filter(array, lambda x: x == 0))), F.sum(F.size(array))
+    return df.groupBy(group).agg(n.cast("long").alias("n_values"), F.try_divide(zeros, n).alias("sparsity"))
+
+
+def best_angle(df: DataFrame, key: str, angle: str, value: str) -> DataFrame:
+    """key and the angle at which the row means of a page (a row per line of pixels) vary most; the least of equal ones."""
+    spread = df.groupBy(key, angle).agg(F.var_pop(value).alias("__v"))
+    return spread.groupBy(key).agg(F.max_by(angle, F.struct("__v", -F.col(angle))).alias(angle))
+
+
+def mean_angle(df: DataFrame, key: str, angle: str, most: float = 45) -> DataFrame:
+    """key and the mean of its lines' angles of at most `most` degrees either way; 0 if there is none."""
+    return df.groupBy(key).agg(F.coalesce(F.avg(F.when(F.abs(angle) <= most, F.col(angle))), F.lit(0.0)).alias(angle))
 
 
 def confusion(detections: DataFrame, truth: DataFrame, key: str, det: Sequence[str], gt: Sequence[str], conf: float = 0.25, iou: float = 0.45) -> DataFrame:
@@ -132,6 +225,11 @@ def fitness(precision: Column, recall: Column, map50: Column, map_: Column) -> C
     return precision * 0.0 + recall * 0.0 + map50 * 0.1 + map_ * 0.9
 
 
+def mask_fitness(box: Sequence[Column], mask: Sequence[Column]) -> Column:
+    """fitness() of boxes and masks together; each is precision, recall, map50, map."""
+    return fitness(*box) + fitness(*mask)
+
+
 def best_row(df: DataFrame, value: str, step: str) -> DataFrame:
     """The row of the greatest value, the first on a tie."""
     return df.agg(F.max_by(F.struct(*df.columns), F.struct(F.col(value), -F.col(step))).alias("r")).select("r.*")

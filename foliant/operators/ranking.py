@@ -22,8 +22,19 @@ def steps(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column]) -> tuple
 def before(stepped: DataFrame, keys: Sequence[str], by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Each step's sums over all earlier steps of its keys."""
     whole = stepped.groupBy(*by).agg(*(f.alias(name) for name, f in sums.items()))
-    w = Window.partitionBy(*keys).orderBy(*(c for c in by if c not in keys)).rowsBetween(Window.unboundedPreceding, -1)
-    return whole.select(*by, *(F.coalesce(F.sum(name).over(w), F.lit(0)).alias(name) for name in sums))
+    return _running(whole, keys, [c for c in by if c not in keys], list(sums))
+
+
+def _running(whole: DataFrame, keys: Sequence[str], own: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Running sums level by level: a window holds the steps of one value of the level above, and one of a key only the first level's."""
+    above, inner = [*keys, *own[:-1]], own[-1]
+    w = Window.partitionBy(*above).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
+    out = whole.select(*above, inner, *(F.coalesce(F.sum(name).over(w), F.lit(0)).alias(name) for name in names))
+    if len(own) == 1:
+        return out
+    upper = whole.groupBy(*above).agg(*(F.sum(name).alias(name) for name in names))
+    earlier = _running(upper, keys, own[:-1], names).withColumnsRenamed({name: f"up_{name}" for name in names})
+    return joined(out, earlier, above).select(*above, inner, *((F.col(name) + F.col(f"up_{name}")).alias(name) for name in names))
 
 
 def joined(stepped: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -44,6 +55,16 @@ def global_rank(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column]
     return out.withColumn(name, (F.col("__before") + inner - 1).cast("long")).drop("__before", *(c for c in by if c not in keys))
 
 
+def batches(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column], size: int, name: str = "batch") -> DataFrame:
+    """Rows with the number of their batch of `size` rows, in the whole order; ids make scattering the results back a join."""
+    return global_rank(df, coarse, order, "__rank").withColumn(name, F.floor(F.col("__rank") / size)).drop("__rank")
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of a total order; each task hands on n at most."""
+    return df.orderBy(*order).limit(n)
+
+
 def shape_batches(df: DataFrame, ratio: Column, coarse: Sequence[Column], order: Sequence[Column], size: int, image: int = 640, stride: int = 32, pad: float = 0.5) -> DataFrame:
     """Rows in batches of `size` by falling width over height; batch, batch_h and batch_w (multiples of stride).
 

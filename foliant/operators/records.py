@@ -67,3 +67,49 @@ def document_kind(stock1: Column, stock2: Column, bill: Column, bill_type: Colum
     has = lambda s, *words: F.coalesce(s, F.lit("")).rlike("|".join(words))
     filled = lambda s: F.coalesce(s, F.lit("")) != ""
     return F.when(has(stock1, "总务", "结算") | has(stock2, "药"), "02").when(has(bill, "据") & filled(bill_type), "01").when(filled(vat_type), "01").when(any_stock, "02").otherwise("03")
+
+
+def distinct_joined(df: DataFrame, key: str, value: str, of: Column | None = None, mark: str = "、") -> DataFrame:
+    """key and its different values in order, joined by a mark; only those that meet `of`, if given."""
+    kept = F.col(value) if of is None else F.when(of, F.col(value))
+    return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(kept)), mark).alias(value))
+
+
+def entities(df: DataFrame, key: str, label: str, text: str, order: Sequence[str]) -> DataFrame:
+    """key and its entities (label, text) as one array, by label and then in the given order."""
+    rows = F.sort_array(F.collect_list(F.struct(label, *order, text)))
+    return df.groupBy(key).agg(F.transform(rows, lambda x: F.struct(x[label].alias(label), x[text].alias(text))).alias("entities"))
+
+
+def entity_pairs(df: DataFrame, key: str, label: str, value: str, first: str = "QUESTION", second: str = "ANSWER") -> DataFrame:
+    """key, first, second: every question of a document with each of its answers."""
+    a = df.where(F.col(label) == first).select(key, F.col(value).alias("first"))
+    return a.join(df.where(F.col(label) == second).select(key, F.col(value).alias("second")), key)
+
+
+def zipped(df: DataFrame, labels: str, texts: str) -> DataFrame:
+    """A row for each place at which both of two arrays have an element: the other columns, seq, label, text."""
+    rest = [c for c in df.columns if c not in (labels, texts)]
+    n = F.least(F.size(labels), F.size(texts))
+    both = F.arrays_zip(F.slice(labels, F.lit(1), n).alias("label"), F.slice(texts, F.lit(1), n).alias("text"))
+    return df.select(*rest, F.posexplode(both).alias("seq", "__p")).select(*rest, "seq", "__p.label", "__p.text")
+
+
+def with_ids(df: DataFrame, known: DataFrame, path: str, name: str) -> DataFrame:
+    """df with the id (column `name` of `known`) of its path; paths that aren't known are left out."""
+    return df.join(known.select(path, name), path)
+
+
+def shared_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a whose keys and shapes b has too."""
+    return a.join(b, list(keys), "left_semi")
+
+
+def split_of(key: Column, shares: Sequence[tuple[str, int]]) -> Column:
+    """The split of a row by shares in percent; it depends on nothing but the key's text, so it is the same everywhere."""
+    at = F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(100))
+    out, upto = F.lit(shares[-1][0]), 100
+    for (name, _), (_, after) in reversed(list(zip(shares, shares[1:], strict=False))):
+        upto -= after
+        out = F.when(at < upto, name).otherwise(out)
+    return out

@@ -99,10 +99,10 @@ def q_dates_qr(spark, sf_dir):
     return o.select("o_orderkey", t.full_date(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("2024-01-01").cast("date")).alias("day"), qr["number"].alias("qr_number"))
 
 
-@query("SELECT doc_id, (length(text) - ceil(length(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) / 2))::BIGINT AS width, levenshtein(regexp_replace(substr(text, 1, 60), '[^ -~]', '_', 'g'), regexp_replace(substr(text, 30, 60), '[^ -~]', '_', 'g'))::INT AS edits, source || '!a' AS half FROM documents")
+@query("SELECT doc_id, (length(text) - ceil(length(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) / 2))::BIGINT AS width, levenshtein(source, lang || source)::INT + levenshtein(lang, source)::INT AS edits, source || '!a' AS half FROM documents")
 def q_text_widths(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", t.display_length(F.col("text")).alias("width"), F.levenshtein(F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "_"), F.regexp_replace(F.substring("text", 30, 60), "[^ -~]", "_")).alias("edits"), t.half_width(F.concat("source", F.lit("！ａ"))).alias("half"))
+    return d.select("doc_id", t.display_length(F.col("text")).alias("width"), (F.levenshtein("source", F.concat("lang", "source")) + F.levenshtein("lang", "source")).alias("edits"), t.half_width(F.concat("source", F.lit("！ａ"))).alias("half"))
 
 
 @query()
@@ -182,24 +182,12 @@ def q_dataset_stats(spark, sf_dir):
     return boxes(spark, sf_dir).cube("cls").agg(F.count("*").alias("instances"), F.countDistinct("image_id").alias("images"))
 
 
-@query("SELECT CASE WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'corrupt' ELSE 'found' END AS state, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-def q_scan_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.groupBy(F.when(F.col("quality").isNull(), "missing").when(F.col("toxic") == 1, "corrupt").otherwise("found").alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT l_orderkey, list_filter(s, lambda x, i: x <> 0 AND (i = 1 OR x <> s[i - 1])) AS symbols FROM (SELECT l_orderkey, list(l_linenumber % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem GROUP BY 1)")
 def q_ctc_decode(spark, sf_dir):
     seq = F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda x: x["l_linenumber"] % 3)
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(seq.alias("s")).select("l_orderkey", t.collapse(F.col("s")).alias("symbols"))
 
 
-@query("SELECT a.conv_id, a.turn AS asked, b.turn AS answered FROM conversations AS a JOIN conversations AS b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'")
-def q_entity_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.where("role = 'user'").select("conv_id", F.col("turn").alias("asked")).join(c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answered")), "conv_id")
-
-
 @query("SELECT event_type, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k_sum FROM events GROUP BY 1")
 def q_json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k long")["k"]).alias("k_sum"))
@@ -210,35 +198,12 @@ def q_latest(spark, sf_dir):
     return latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT label, pos - 1 AS dim, round(avg(embedding[pos]::DOUBLE), 4) + 0.0 AS mean FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(pos) GROUP BY 1, 2")
-def q_center(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", F.col("dim").cast("long").alias("dim")).agg((F.round(F.avg(F.col("v").cast("double")), 4) + 0.0).alias("mean"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id * 2654435761 % 100 < 80 THEN 'train' WHEN doc_id * 2654435761 % 100 < 90 THEN 'val' ELSE 'test' END AS split FROM documents")
-def q_split(spark, sf_dir):
-    share = F.col("doc_id") * F.lit(2654435761) % 100
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(share < 80, "train").when(share < 90, "val").otherwise("test").alias("split"))
-
-
 @query(f"WITH {BOXES} SELECT image_id, '<tr>' || string_agg('<td>' || l_partkey || '</td>', '' ORDER BY l_linenumber, l_partkey, l_suppkey) || '</tr>' AS html FROM boxes GROUP BY 1")
 def q_html_rows(spark, sf_dir):
     parts = F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda x: x["l_partkey"].cast("string"))
     return boxes(spark, sf_dir).groupBy("image_id").agg(parts.alias("p")).select("image_id", t.html_row(F.col("p")).alias("html"))
 
 
-@query()
-def q_nms(spark, sf_dir):
-    return bx.suppress(boxes(spark, sf_dir), ["image_id", "cls"], ORDER, 0.3)
-
-
-@query()
-def q_greedy_match(spark, sf_dir):
-    b = boxes(spark, sf_dir).withColumn("det", F.col("l_partkey") * 100 + F.col("l_linenumber"))
-    truth = b.withColumn("x1", F.col("x1") + F.col("l_partkey") % 5 - 2).withColumn("x2", F.col("x2") + F.col("l_partkey") % 5 - 2)
-    return bx.greedy_match(bx.pairs(b, truth, "image_id", 0.5).withColumn("image_id", F.col("l_image_id")), "image_id", "l_det", "r_det")
-
-
 @query("""WITH d AS (SELECT o_orderkey, o_orderkey // 10000 % 10 AS a, o_orderkey // 1000 % 10 AS b, o_orderkey // 100 % 10 AS c, o_orderkey // 10 % 10 AS d, o_orderkey % 10 AS e, o_custkey % 10 AS f, o_custkey // 10 % 10 AS g FROM orders)
 SELECT o_orderkey, '¥ ' || (greatest(a, 1) * 10000 + greatest(b, 1) * 1000 + greatest(c, 1) * 100 + greatest(d, 1) * 10 + e) || '.' || f || g AS amount FROM d""")
 def q_chinese_amount(spark, sf_dir):
@@ -430,12 +395,6 @@ def q_table_matrix(spark, sf_dir):
     return layout.grid(c, "image_id").select("image_id", F.array_join(F.transform("rows", lambda r: r[0]), "|").alias("first_column"))
 
 
-@query(f"""WITH {BOXES}, {TRUE} SELECT image_id, count(*) AS n FROM boxes AS b WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.image_id = b.image_id AND gt.l_partkey = b.l_partkey) GROUP BY 1""")
-def q_unmatched(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    return b.join(shifted(b).select("image_id", "l_partkey"), ["image_id", "l_partkey"], "left_anti").groupBy("image_id").agg(F.count("*").alias("n"))
-
-
 @query()
 def q_e2e_eval(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("idx", F.struct(*ORDER)).withColumn("text", F.col("l_partkey").cast("string"))

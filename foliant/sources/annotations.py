@@ -22,11 +22,40 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.groupBy("image").agg(F.to_json(F.transform(rows, lambda r: r["x"])).alias("j")).select(F.concat_ws("\t", "image", "j").alias("value")).write.text(path)
 
 
+def true_lines(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """Annotated lines as truth: those scored below `least` go (unscored ones stay), wide blanks are plain ones, and ### is ignored."""
+    kept = lines.where(F.col("score").isNull() | (F.col("score") >= least))
+    text = F.translate("text", "\u3000", " ")
+    return kept.withColumn("text", text).withColumn("ignored", F.col("text") == "###")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, cls, x, y, w, h, valid of detector label files (five values, 0 to 1)."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.trim("value"), "\n")))
-    v = F.split(F.trim("col"), r"\s+")
-    n = lambda k: F.get(v, F.lit(k)).try_cast("double")
-    rows = raw.where("trim(col) <> ''").select("file", F.col("pos").alias("line_no"), F.size(v).alias("n"), n(0).cast("int").alias("cls"), *(n(k + 1).alias(c) for k, c in enumerate("xywh")))
-    within = [(F.col(c) >= 0) & (F.col(c) <= 1) for c in "xywh"]
-    return rows.withColumn("valid", F.coalesce((F.col("n") == 5) & within[0] & within[1] & within[2] & within[3], F.lit(False))).drop("n")
+    """label_rows() of label files, which are read whole."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.trim("value"), "\n")).alias("line_no", "line"))
+    return label_rows(raw)
+
+
+def label_rows(raw: DataFrame) -> DataFrame:
+    """file, line_no, cls, x, y, w, h (centre and size), points and valid of label lines (file, line_no, line), repeated rows once.
+
+    Where any line of a file has more than six parts, its lines are polygons, and the box is that around the points;
+    otherwise points is null. A row is valid with a class of 0 at least and all values within 0 to 1.
+    """
+    v = F.split(F.trim("line"), r"\s+")
+    parts = raw.where("trim(line) <> ''").select("file", "line_no", F.transform(v, lambda s: s.try_cast("double")).alias("v"))
+    outlined = parts.groupBy(F.col("file").alias("__file")).agg((F.max(F.size("v")) > 6).alias("__outlined"))
+    points = F.slice("v", 2, 1 << 30)
+    xs, ys = F.filter(points, lambda _, i: i % 2 == 0), F.filter(points, lambda _, i: i % 2 == 1)
+    box = lambda a: ((F.array_min(a) + F.array_max(a)) / 2, F.array_max(a) - F.array_min(a))
+    (cx, w), (cy, h) = box(xs), box(ys)
+    n = lambda k: F.get("v", F.lit(k))
+    pick = lambda a, b: F.when(F.col("__outlined"), a).otherwise(b)
+    rows = parts.join(outlined, F.col("file") == F.col("__file")).select(
+        "file", "line_no", n(0).cast("int").alias("cls"), pick(cx, n(1)).alias("x"), pick(cy, n(2)).alias("y"), pick(w, n(3)).alias("w"), pick(h, n(4)).alias("h"),
+        F.when(F.col("__outlined"), F.arrays_zip(xs.alias("x"), ys.alias("y"))).alias("points"), "v", "__outlined",
+    )
+    size = F.when(F.col("__outlined"), (F.size("v") >= 7) & (F.size("v") % 2 == 1)).otherwise(F.size("v") == 5)
+    whole = F.forall("v", lambda x: F.coalesce(x >= 0, F.lit(False))) & F.forall(points, lambda x: F.coalesce(x <= 1, F.lit(False)))
+    first = rows.groupBy("file", "v").agg(F.min("line_no").alias("line_no"), *(F.first(c).alias(c) for c in ("cls", "x", "y", "w", "h", "points", "__outlined")))
+    return first.select("file", "line_no", "cls", "x", "y", "w", "h", "points", (size & whole).alias("valid"))
+

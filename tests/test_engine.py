@@ -49,18 +49,22 @@ def ratio(a, b):
     return inter / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - inter)
 
 
-def test_suppression_and_matching(spark):
-    rows = [(k % 7, i, (i * 37 + k) % 60, (i * 17) % 40, (i * 37 + k) % 60 + 25, (i * 17) % 40 + 20, i % 5) for k in range(7) for i in range(30)]
-    df = spark.createDataFrame(rows, "page long, det long, x1 int, y1 int, x2 int, y2 int, conf int")
-    got = bx.suppress(df, ["page"], ["det"], 0.3).collect()
+@pytest.mark.parametrize(("most", "most_in"), [(300, 30000), (6, 30000), (300, 11), (4, 11)])
+def test_suppression(spark, most, most_in):
+    rows = [(k % 7, i, (i * 37 + k) % 60, (i * 17) % 40, (i * 37 + k) % 60 + 25, (i * 17) % 40 + 20, i % 5, i % 3) for k in range(7) for i in range(30)]
+    df = spark.createDataFrame(rows, "page long, det long, x1 int, y1 int, x2 int, y2 int, conf int, cls int")
+    got = bx.suppress(df, "page", "cls", ["det"], 0.3, most, most_in).collect()
     want = []
     for page in range(7):
         kept = []
-        for r in sorted((r for r in df.collect() if r.page == page), key=lambda r: (-r.conf, r.det)):
-            if all(ratio(r, k) <= 0.3 for k in kept):
+        for r in sorted((r for r in df.collect() if r.page == page), key=lambda r: (-r.conf, r.det))[:most_in]:
+            if all(k.cls != r.cls or ratio(r, k) <= 0.3 for k in kept):
                 kept.append(r)
-        want += kept
+        want += kept[:most]
     assert sorted(got) == sorted(want)
+
+
+def test_matching(spark):
     pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.6), (2, 5, 5, 0.5)], "page long, a long, b long, iou double")
     assert sorted((r.page, r.a, r.b) for r in bx.greedy_match(pairs, "page", "a", "b").collect()) == [(1, 1, 1), (1, 2, 2), (2, 5, 5)]
 
@@ -78,6 +82,10 @@ def test_labels(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1 0.5 0.5 0.1 0.1\n\n2 0.5 1.5 0.1 0.1\n3 0.5\n")
     got = annotations.read_labels(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()
     assert [(r.line_no, r.cls, r.valid) for r in got] == [(0, 1, True), (2, 2, False), (3, 3, False)]
+    (tmp_path / "b.txt").write_text("1 0.1 0.2 0.5 0.2 0.5 0.6\n1 0.1 0.2 0.5 0.2 0.5 0.6\n2 0.1 0.2 0.5\n-1 0.1 0.2 0.5 0.2 0.5 0.6\n")
+    got = annotations.read_labels(spark, str(tmp_path / "b.txt")).orderBy("line_no").collect()
+    assert [(r.line_no, r.cls, r.valid, len(r.points)) for r in got] == [(0, 1, True, 3), (2, 2, False, 2), (3, -1, False, 3)]
+    assert (round(got[0].x, 9), round(got[0].y, 9), round(got[0].w, 9), round(got[0].h, 9)) == (0.3, 0.4, 0.4, 0.4)
 
 
 def brute_edits(a, b):
