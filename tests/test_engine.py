@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as t
 from foliant.operators import boxes as bx
+from foliant.plans import detections  # noqa: F401  (adds its queries)
 from foliant.plans.queries import ORACLES, QUERIES
 from foliant.sources import annotations
 
