@@ -259,8 +259,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     codes = docs.groupBy("code").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own")).alias("first"))
     group = F.coalesce("label", "code").alias("group")
     firsts = codes.join(_labels(codes.select("code"), node_rows), "code", "left").groupBy(group).agg(F.min("first").alias("first"))
-    chosen = firsts.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.own").alias("chosen_own"))
-    key, own = unused(df, "_id"), unused(df, "_own")
-    rows = df.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(own, _own(F.col(f"`{text_col}`").cast("string")))
-    same = rows[key].eqNullSafe(chosen["chosen_id"]) & (rows[own] == chosen["chosen_own"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates([key, own]).drop(key, own)
+    # Plain columns without nulls, so that the join's partitions serve the last step too.
+    id_, unnamed, own = unused(df, "_id"), unused(df, "_unnamed"), unused(df, "_own")
+    named = lambda i: [F.coalesce(i, F.lit(0)).alias(id_), i.isNull().alias(unnamed)]
+    chosen = firsts.select(*named(F.col("first.doc_id")), F.col("first.own").alias(own))
+    rows = df.select("*", *named(F.col(f"`{id_col}`").cast("long")), _own(F.col(f"`{text_col}`").cast("string")).alias(own))
+    keys = [id_, unnamed, own]
+    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in df.columns))
