@@ -146,8 +146,8 @@ def sparsity(df: DataFrame, group: str, array: str) -> DataFrame:
 
 
 def best_angle(df: DataFrame, key: str, angle: str, value: str) -> DataFrame:
-    """key and the angle at which the row means of a page (a row per line of pixels) vary most; the least of equal ones."""
-    spread = df.groupBy(key, angle).agg(F.var_pop(value).alias("__v"))
+    """key and the angle at which the row means of a page (a row per line of pixels) vary most; the least of those equal to nine places."""
+    spread = df.groupBy(key, angle).agg(F.round(F.var_pop(value), 9).alias("__v"))
     return spread.groupBy(key).agg(F.max_by(angle, F.struct("__v", -F.col(angle))).alias(angle))
 
 

@@ -278,7 +278,7 @@ def q_sparsity(spark, sf_dir):
     return metrics.sparsity(rows, "label", "v").withColumn("sparsity", F.round("sparsity", 6))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber % 3 - 1 AS angle, var_pop(l_quantity) AS v FROM lineitem GROUP BY 1, 2), m AS (SELECT k, arg_max(angle, struct_pack(v := v, a := -angle)) AS best FROM v GROUP BY 1),
+@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber % 3 - 1 AS angle, round(var_pop(l_quantity), 9) AS v FROM lineitem GROUP BY 1, 2), m AS (SELECT k, arg_max(angle, struct_pack(v := v, a := -angle)) AS best FROM v GROUP BY 1),
 a AS (SELECT l_orderkey AS k, coalesce(avg(CASE WHEN abs(l_quantity - 25) <= 10 THEN l_quantity - 25 END), 0.0) AS mean FROM lineitem GROUP BY 1) SELECT k, best::INT AS best, round(mean, 6) AS mean FROM m JOIN a USING (k)""")
 def q_angles(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3 - 1).alias("best"), "l_quantity", (F.col("l_quantity") - 25).alias("mean"))
