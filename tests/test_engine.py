@@ -35,7 +35,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("lineitem", "orders", "documents", "labels", "events", "pages", "conversations", "embeddings", "supplier"):
+    for table in ("lineitem", "orders", "documents", "labels", "events", "pages", "conversations", "embeddings", "supplier", "part", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     found = con.execute(ORACLES[name])
