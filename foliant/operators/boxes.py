@@ -64,23 +64,32 @@ def _kept(boxes: np.ndarray, cls: np.ndarray, threshold: float, most: int) -> li
     return out
 
 
-def suppress(df: DataFrame, page: str, cls: str, order: Sequence[str], threshold: float, most: int = 300, most_in: int = 30000) -> DataFrame:
+def suppress(df: DataFrame, page: str, cls: str, order: Sequence[str], threshold: float, most: int = 300, most_in: int = 30000, small: int = 64) -> DataFrame:
     """Non-maximum suppression on each page: by falling confidence, a box goes if a kept one of its class overlaps it more than `threshold`.
 
     Of a page's boxes the `most_in` best are looked at, and the `most` best kept
     ones returned, over all classes: these limits are part of the operator. `order` settles equal
-    confidences. A page is one array; Python sees many pages at once and compares each kept box with all others by numpy.
+    confidences. A page is one array: one of up to `small` boxes is folded in place, larger ones go to Python, many at
+    once, where each kept box is compared with all others by numpy. Which way a page goes changes no result.
     """
     rest = [c for c in df.columns if c != page]
     rows = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("__neg"), *order, *(c for c in rest if c not in order)))), 1, most_in)
 
     @F.pandas_udf("array<int>")
     def kept(corners: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([_kept(np.asarray(c, float).reshape(-1, 4), np.asarray(k), threshold, most) for c, k in zip(corners, kinds, strict=True)], dtype=object)
+        return pd.Series([None if c is None else _kept(np.asarray(c, float).reshape(-1, 4), np.asarray(k), threshold, most) for c, k in zip(corners, kinds, strict=True)], dtype=object)
+
+    def clash(k: Column, x: Column) -> Column:
+        a, b = (tuple(z[c].cast("double") for c in ("x1", "y1", "x2", "y2")) for z in (k, x))
+        inter = g.intersection(a, b)
+        return (k[cls] == x[cls]) & (inter / F.nullif(g.area(a) + g.area(b) - inter, F.lit(0.0)) > threshold)
 
     pages = df.groupBy(page).agg(rows.alias("__s"))
     corners = F.flatten(F.transform("__s", lambda x: F.array(*(x[c].cast("double") for c in ("x1", "y1", "x2", "y2")))))
-    found = pages.select(page, "__s", F.explode(kept(corners, F.transform("__s", lambda x: x[cls]))).alias("__i")).select(page, F.get("__s", F.col("__i")).alias("__x"))
+    large = lambda x: F.when(F.size("__s") > small, x)
+    told = pages.select(page, "__s", kept(large(corners), large(F.transform("__s", lambda x: x[cls]))).alias("__i"))
+    rows = F.when(F.size("__s") > small, F.transform("__i", lambda i: F.get("__s", i))).otherwise(F.slice(_fold(F.col("__s"), clash), 1, most))
+    found = told.select(page, F.explode(rows).alias("__x"))
     return found.select(*(F.col(c) if c == page else F.col(f"__x.{c}").alias(c) for c in df.columns))
 
 

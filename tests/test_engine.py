@@ -51,10 +51,11 @@ def ratio(a, b):
 
 
 @pytest.mark.parametrize(("most", "most_in"), [(300, 30000), (6, 30000), (300, 11), (4, 11)])
-def test_suppression(spark, most, most_in):
+@pytest.mark.parametrize("small", [0, 64])
+def test_suppression(spark, most, most_in, small):
     rows = [(k % 7, i, (i * 37 + k) % 60, (i * 17) % 40, (i * 37 + k) % 60 + 25, (i * 17) % 40 + 20, i % 5, i % 3) for k in range(7) for i in range(30)]
     df = spark.createDataFrame(rows, "page long, det long, x1 int, y1 int, x2 int, y2 int, conf int, cls int")
-    got = bx.suppress(df, "page", "cls", ["det"], 0.3, most, most_in).collect()
+    got = bx.suppress(df, "page", "cls", ["det"], 0.3, most, most_in, small).collect()
     want = []
     for page in range(7):
         kept = []
