@@ -66,7 +66,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    warc.write_archives(warc.resolve(warc.headers(pages)), path)
+    warc.write_archives(warc.deduplicated(spark, warc.headers(pages)), path)
     records = warc.read_archives(spark, path, blocks=False)
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,26 +1,30 @@
 """WARC archives: writing, reading back, and resolving repeated payloads to revisit records.
 
-Archives are plain WARC/1.1 bytes, written and read by Spark's own sources, so
-any store that Spark reaches will do and lost tasks are simply run again. The
-first record of each payload is found from headers alone, combined before they
-are shuffled by digest; a payload moves once, with its record, to be written. A null payload counts as empty.
+Archives are WARC/1.1 with a gzip member for each record, written and read by
+Spark's own sources, so any store that Spark reaches will do and lost tasks are
+simply run again. Repeated payloads are resolved on headers alone: headers are
+shuffled by digest, revisit records are written from them, and a payload moves
+once, by its record's own id, to be left out if its record is a revisit. So a
+payload that many pages share is never a join key of payloads. A null payload counts as empty.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batched
+from foliant.llm.common import batched, cut, look_up
 
 #: Date of records for which none is given.
 DATE = "2024-01-01T00:00:00Z"
-#: Records in one archive file at most.
-FILE_RECORDS = 4000
+#: An archive file ends with the record that takes it to so many bytes.
+ARCHIVE_BYTES = 32 << 20
 END = "\r\n\r\n"
 
 
@@ -40,30 +44,44 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """records with record_type and refers_to.
+    """records with record_type and refers_to. Records are read several times, so give headers without payloads.
 
     Of records with one digest and length, of `least_bytes` at least, that with the least
     record_id is the response and the others revisit it; all smaller ones are
     responses. Records without an id, and repeats of the first id, are responses too.
-    The first ids are combined before the shuffle, so a payload that many
-    records share is no burden, and digests that occur once aren't joined.
+    The first ids are combined before the shuffle, and digests that very many
+    records share are looked up where the records are.
     """
+    key = ["payload_digest", "payload_bytes"]
     first = (
         records.where((F.col("payload_bytes") >= least_bytes) & F.col("record_id").isNotNull())
-        .groupBy(F.col("payload_digest").alias("same_digest"), F.col("payload_bytes").alias("same_bytes"))
+        .groupBy(*key)
         .agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
         .where("first_id < last_id")
-        .select("same_digest", "same_bytes", "first_id")
+        .select(*key, "first_id")
     )
-    joined = records.join(first, (records["payload_digest"] == first["same_digest"]) & (records["payload_bytes"] == first["same_bytes"]), "left")
     revisits = F.coalesce(F.col("first_id") < F.col("record_id"), F.lit(False))
-    return joined.select(
-        *(records[c] for c in records.columns),
+    return look_up(records, first, key).select(
+        *records.columns,
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         F.when(revisits, F.col("first_id")).alias("refers_to"),
     )
 
 
+def deduplicated(spark: SparkSession, records: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """headers() rows with record_type and refers_to; payload is null for revisits.
+
+    Rows of one id and payload are of one type, so revisits are told by both.
+    Headers are kept in the shared folder; of payloads nothing is kept.
+    """
+    known = cut(spark, records.drop("payload"))
+    revisits = resolve(known, least_bytes).where("record_type = 'revisit'")
+    same = ["record_id", "payload_digest", "payload_bytes"]
+    # The list of revisits grows with the corpus, so it is never broadcast, whatever its size here.
+    responses = records.join(revisits.select(*same).hint("merge"), same, "left_anti").select(*records.columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits, allowMissingColumns=True)
+
+
 def record_uri(record_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(record_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -91,39 +109,71 @@ def record_text(r: DataFrame, date: str = DATE) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
-    """Write the records, as UTF-8, to gzipped archive files of FILE_RECORDS records at most under `path`.
+def member(record: bytes) -> bytes:
+    return gzip.compress(record, mtime=0)
+
+
+def info(date: str = DATE) -> bytes:
+    """The record that an archive begins with."""
+    block = "format: WARC File Format 1.1\r\nsoftware: foliant\r\n"
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}{END}{block}{END}".encode()
+
 
-    Spark's text writer ends each value with `lineSep`, which is the end of a WARC record.
+def write_archives(resolved: DataFrame, path: str, date: str = DATE, most_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the records, as UTF-8, to archive files under `path`, each a warcinfo and records until it holds `most_bytes`.
+
+    Each row that reaches Spark's text writer is one file. The writer ends it with
+    `lineSep`, here the zero byte that ends a gzip member of under 16 MB;
+    an empty member follows a last record whose own last byte differs.
     """
-    resolved.select(record_text(resolved, date).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+    def run(batches):
+        archive = bytearray()
+
+        def closed():
+            if archive[-1]:
+                archive.extend(member(b""))
+            return pa.RecordBatch.from_arrays([pa.array([bytes(archive[:-1])], pa.binary())], names=["archive"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                archive.extend(b"" if archive else member(info(date)))
+                archive.extend(member(record.as_py()))
+                if len(archive) >= most_bytes:
+                    yield closed()
+                    archive.clear()
+        if archive:
+            yield closed()
+
+    records = resolved.select(F.concat(record_text(resolved, date), F.lit(END)).cast("binary").alias("record"))
+    archives = records.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive, gzipped or not."""
+    """(header fields by lower-case name, block) of each record of an archive, gzipped or not; one record is unpacked at a time."""
+    stream = io.BytesIO(content)
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {first[:20]!r}")
         fields = {}
-        for line in lines:
-            name, _, value = line.partition(":")
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        block = end + 4
-        at = block + int(fields["content-length"])
-        yield fields, content[block:at]
-        at += 4
+        length = int(fields["content-length"])
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != END.encode():
+            raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
+        yield fields, block
 
 
 _SCHEMA = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
 
 
 def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """record_id, url, record_type, refers_to, payload_digest, payload_bytes and, if asked for, block of every record under `path`."""
+    """record_id, url, record_type, refers_to, payload_digest, payload_bytes and, if asked for, block of every record under `path` but warcinfo."""
     schema = _SCHEMA if blocks else pa.schema(list(_SCHEMA)[:-1])
 
     def number(uri: str | None) -> int | None:
@@ -135,6 +185,8 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
             for batch in batches:
                 for content in batch.column(0):
                     for fields, block in parse(content.as_py()):
+                        if fields.get("warc-type") == "warcinfo":
+                            continue
                         row = (
                             number(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields.get("warc-type"), number(fields.get("warc-refers-to")),
                             fields.get("warc-payload-digest", "").rpartition(":")[2], int(fields.get("x-payload-length", fields["content-length"])),
@@ -149,8 +201,9 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
 
 def payloads(records: DataFrame) -> DataFrame:
     """Records read back, with payload: a revisit's is that of the response that it refers to (null if there is none)."""
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("original"), F.col("block").alias("original_block"))
-    return records.join(responses, records["refers_to"] == responses["original"], "left").select(
+    same = [F.col("record_id").alias("original"), F.col("payload_digest").alias("original_digest")]
+    responses = records.where("record_type = 'response'").select(*same, F.col("block").alias("original_block")).dropDuplicates(["original", "original_digest"])
+    return records.join(responses, (records["refers_to"] == responses["original"]) & (records["payload_digest"] == responses["original_digest"]), "left").select(
         *(records[c] for c in records.columns if c != "block"),
         F.when(F.col("record_type") == "revisit", F.col("original_block")).otherwise(F.col("block")).alias("payload"),
     )

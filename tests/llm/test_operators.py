@@ -1,5 +1,8 @@
+import glob
+import gzip
 import hashlib
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -170,10 +173,10 @@ def test_shingle_hash_is_sparks(spark):
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/\r\nX: y", "<p>é</p>\r\n\r\nWARC/1.1\r\n\r\n"), (2, None, None), (3, "u", ""), (4, "u", "same"), (5, "v", "same"), (5, "v", "same"), (None, "w", "same"), (-7, "q", "Zsame")]
+    rows = [(1, "http://a/\r\nX: y", "<p>é</p>\r\n\r\nWARC/1.1\r\n\r\n"), (2, None, None), (3, "u", ""), (4, "u", "same"), (4, "u", "same"), (4, "t", "other"), (5, "v", "same"), (5, "v", "same"), (None, "w", "same"), (-7, "q", "Zsame")]
     pages = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id long, url string, html string, record_type string, payload_bytes int")
     path = shared_path(spark, "warc-test")
-    warc.write_archives(warc.resolve(warc.headers(pages)), path)
+    warc.write_archives(warc.deduplicated(spark, warc.headers(pages)), path)
     back = warc.payloads(warc.read_archives(spark, path)).collect()
     assert len(back) == len(rows)
     first = {}
@@ -187,6 +190,30 @@ def test_warc_round_trip(spark):
 
         assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() and r.payload_bytes == len(r.payload)
     empty = shared_path(spark, "warc-test")
-    warc.write_archives(warc.resolve(warc.headers(pages.limit(0))), empty)
+    warc.write_archives(warc.deduplicated(spark, warc.headers(pages.limit(0))), empty)
     assert warc.read_archives(spark, empty).count() == 0
     assert warc.resolve(warc.headers(pages), least_bytes=10).where(F.col("record_type") == "revisit").count() == 0
+
+
+def test_warc_archives_are_bounded_by_bytes(spark):
+    """Records of many sizes, one beyond 16 MB: small archives, a member for each record, texts as they were."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdefgh <>é", k=n)) for n in (0, 10, 200_000, 300_000, 50, 400_000)] + ["long " * 3_600_000]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts + texts[3:])], "page_id long, url string, html string").coalesce(1)
+    path = shared_path(spark, "warc-test")
+    warc.write_archives(warc.deduplicated(spark, warc.headers(pages)), path, most_bytes=100_000)
+    back = {r.record_id: bytes(r.payload).decode() for r in warc.payloads(warc.read_archives(spark, path)).collect()}
+    assert back == dict(enumerate(texts + texts[3:]))
+    files = [f for f in glob.glob(path.removeprefix("file://") + "/part-*")]
+    assert len(files) >= 3
+    for file in files:
+        rest, members, records = open(file, "rb").read(), 0, len(list(warc.parse(open(file, "rb").read())))
+        assert gzip.decompress(rest).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") or not rest
+        while rest:
+            unpacked = zlib.decompressobj(wbits=31)
+            text = unpacked.decompress(rest)
+            assert text == b"" or (text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n"))
+            rest, members = unpacked.unused_data, members + (text != b"")
+        assert members == records
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
