@@ -149,6 +149,33 @@ def direction(x: Column, y: Column) -> Column:
     return F.when((x == 0) & (y == 0), -90.0).otherwise(F.degrees(F.atan2(y, x)))
 
 
+def leaning_corners(x1: Column, x2: Column, slope: Column, middle: Column, height: Column) -> Column:
+    """Corners of joined proposals from the upper left one onwards, in whole numbers: the band of `height` around the line
+    slope * x + middle from x1 to x2, two opposite corners moved so that its ends stand square on it."""
+    dx, dy = height * F.abs(slope) / (1 + slope * slope), height * slope * slope / (1 + slope * slope)
+
+    def corner(x: Column, side: int, out: int, moved: Column) -> Column:
+        y = slope * x + middle + side * height / 2
+        return F.array((x + F.when(moved, out * dx).otherwise(0.0)).cast("int"), (y - F.when(moved, side * dy).otherwise(0.0)).cast("int"))
+
+    return F.array(corner(x1, -1, -1, slope < 0), corner(x2, -1, 1, slope >= 0), corner(x2, 1, 1, slope < 0), corner(x1, 1, -1, slope >= 0))
+
+
+def triangle(points: Column) -> Column:
+    """Three points, the one with an angle of 70 to 110 degrees first (else the last one), then the other two by their direction from it, upwards positive; in whole pixels."""
+    def ordered(p: Column) -> Column:
+        def angle(i: int, j: int, k: int) -> Column:
+            ax, ay, bx, by = _x(p[j]) - _x(p[i]), _y(p[j]) - _y(p[i]), _x(p[k]) - _x(p[i]), _y(p[k]) - _y(p[i])
+            return F.degrees(F.abs(F.atan2(ax * by - ay * bx, ax * bx + ay * by)))
+
+        way = lambda i, j: direction(_x(p[j]) - _x(p[i]), _y(p[i]) - _y(p[j]))
+        from_ = lambda i, j, k: F.when(way(i, k) >= way(i, j), F.array(p[i], p[j], p[k])).otherwise(F.array(p[i], p[k], p[j]))
+        # Angles of whole-pixel corners at exactly 70 or 110 degrees don't occur.
+        return F.when(angle(0, 1, 2).between(70, 110), from_(0, 1, 2)).when(angle(1, 0, 2).between(70, 110), from_(1, 0, 2)).otherwise(from_(2, 0, 1))
+
+    return F.when(F.size(points) == 3, bound(F.transform(points, lambda q: F.transform(q, lambda c: c.cast("int"))), ordered))
+
+
 def even_parity(bits: Column) -> Column:
     """Whether the remainder of a bit array, divided by the polynomial x + 1, is 0."""
     return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseXOR(x)) == 0

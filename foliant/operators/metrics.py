@@ -38,6 +38,54 @@ def running_precision(df: DataFrame, cls: str, order: list[Column], n_true: Colu
     return out.drop(*own)
 
 
+def score_curves(df: DataFrame, cls: str, n_true: DataFrame, n: int = 1000) -> DataFrame:
+    """cls, k, score, precision, recall, f1 and n_true at n even confidences from 0 to 1, between detections on a straight line.
+
+    Rows of one confidence count together, so their order is no matter. Above a class's greatest confidence recall is 0
+    and precision 1; a class without detections has 0 for both. n_true has cls and n_true. Rows fall into n cells of
+    confidence, combined before the shuffle, so a window holds n rows of a class however many detections it has.
+    """
+    cell = F.least(F.greatest(F.floor(F.col("conf") * (n - 1)), F.lit(0)), F.lit(n - 1)).cast("int")
+    tied = df.where(F.col("conf").isNotNull()).groupBy(F.col(cls).alias("__cls"), F.col("conf").cast("double").alias("__c")).agg(F.sum("tp").alias("__t"), F.count("tp").alias("__m"), F.first(cell).alias("__cell"))
+    at = F.struct(F.col("__c").alias("c"), F.col("__t").alias("t"), F.col("__m").alias("m"))
+    cells = tied.groupBy("__cls", "__cell").agg(F.sum("__t").alias("__t"), F.sum("__m").alias("__m"), F.min("__c").alias("__low"), F.max(at).alias("__high"))
+    grid = n_true.select(cls, "n_true", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    rows = grid.join(cells, (F.col(cls) == F.col("__cls")) & (F.col("k") == F.col("__cell")), "left")
+    w = Window.partitionBy(cls)
+    up, down = w.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0), w.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__t": F.coalesce(F.sum("__t").over(up), F.lit(0)), "__m": F.coalesce(F.sum("__m").over(up), F.lit(0)), "__a": F.last("__low", True).over(up), "__b": F.last("__high", True).over(down)})
+    x, t, m, a, b, eps = F.col("k") / (n - 1), F.col("__t"), F.col("__m"), F.col("__a"), F.col("__b"), 1e-16
+    part = F.when(b.isNull(), 0.0).otherwise((a - x) / (a - b["c"]))
+    line = lambda here, below: here + F.when(b.isNull(), 0.0).otherwise((below - here) * part)
+    found = a.isNotNull() | b.isNotNull()
+    precision = F.when(a.isNotNull(), line(t / m, (t + b["t"]) / (m + b["m"]))).when(found, 1.0).otherwise(0.0)
+    recall = F.when(a.isNotNull(), line(t / (F.col("n_true") + eps), (t + b["t"]) / (F.col("n_true") + eps))).otherwise(0.0)
+    out = rows.select(cls, "k", x.alias("score"), precision.alias("precision"), recall.alias("recall"), "n_true")
+    p, r = F.col("precision"), F.col("recall")
+    return out.withColumn("f1", 2 * p * r / (p + r + eps))
+
+
+def best_scores(curves: DataFrame, cls: str, n: int = 1000, share: float = 0.1) -> DataFrame:
+    """The rows of score_curves() at the confidence where the smoothed mean f1 of all classes is greatest (the least one on a tie), with tp and fp as counts."""
+    mean = curves.groupBy("k").agg(F.avg("f1").alias("f1")).withColumn("__all", F.lit(0))
+    top = best_row(smooth(mean, "__all", "k", "f1", n, share).select("k", F.round("smooth", 12).alias("smooth")), "smooth", "k").select(F.col("k").alias("__k"))  # one row
+    rows = curves.join(F.broadcast(top), F.col("k") == F.col("__k")).drop("__k")
+    tp = F.rint(F.col("recall") * F.col("n_true"))
+    return rows.withColumn("tp", tp.cast("long")).withColumn("fp", F.rint(tp / (F.col("precision") + 1e-16) - tp).cast("long"))
+
+
+def study_curve(lines: DataFrame, file: str = "file", order: str = "line_no", line: str = "line") -> DataFrame:
+    """file, line_no, ms and score (percent) of study files: the lines after the first, up to that of the greatest score (the first of equals).
+
+    A line has numbers between blanks: the score is the fourth, the time the ninth. Lines without them are left out.
+    """
+    parts = F.split(F.trim(line), r"\s+")
+    rows = lines.select(file, order, F.get(parts, F.lit(3)).try_cast("double").alias("__s"), F.get(parts, F.lit(8)).try_cast("double").alias("__ms")).where("__s IS NOT NULL AND __ms IS NOT NULL")
+    ends = rows.groupBy(F.col(file).alias("__file")).agg(F.min(order).alias("__first"), F.max_by(order, F.struct("__s", -F.col(order))).alias("__last"))
+    kept = rows.join(ends, F.col(file) == F.col("__file")).where((F.col(order) > F.col("__first")) & (F.col(order) <= F.col("__last")))
+    return kept.select(file, order, F.col("__ms").alias("ms"), (F.col("__s") * 100).alias("score"))
+
+
 def average_precision(curve: DataFrame, cls: str, n_true: DataFrame) -> DataFrame:
     """cls, n_true, tp, ap of running_precision()'s rows: the envelope over recall by 101 points and trapezoids.
 

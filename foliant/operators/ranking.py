@@ -60,6 +60,13 @@ def batches(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column], si
     return global_rank(df, coarse, order, "__rank").withColumn(name, F.floor(F.col("__rank") / size)).drop("__rank")
 
 
+def places(df: DataFrame, batch: str, key: str, name: str = "place") -> DataFrame:
+    """Rows with their image's number within its batch, from 0 in the order of its key; an image may have several rows."""
+    images = df.select(batch, key).distinct()
+    numbered = images.withColumn(name, (F.row_number().over(Window.partitionBy(batch).orderBy(key)) - 1).cast("long"))
+    return joined(df, numbered, [batch, key])
+
+
 def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of a total order; each task hands on n at most."""
     return df.orderBy(*order).limit(n)

@@ -11,6 +11,13 @@ from foliant.functions import text as t
 
 # Detector labels and the fields they fill.
 VAT = {c: c for c in ("invoice_code", "invoice_code2", "invoice_number", "invoice_number2", "check_code", "check_code2", "title", "tax", "amount_with_tax", "buy_title", "buy_tax", "buy_addr", "buy_bank", "sale_title", "sale_tax", "sale_addr", "sale_bank", "seal_1", "seal_2")} | {"bill_date": "billing_date", "total": "total_amount"}
+#: Fields of the older detectors; what isn't found is "0".
+OLDER = {
+    "train": {"invoice_number": "invoice_number", "totalAmount": "amount", "ids": "ids", "date": "billing_date", "start": "star_station", "end": "end_station"},
+    "taxi": {"invoice_code": "invoice_code", "invoice_number": "invoice_number", "totalAmount": "amount_tax"},
+    "roll": {"invoice_code": "invoice_code", "invoice_number": "invoice_number", "totalAmount": "total_amount", "billingDate": "billing_date", "checkcode": "check_code", "QRCode": "qrcode", "title": "title"},
+    "evat": {"invoice_code": "invoice_code", "invoice_number": "invoice_number", "totalAmount": "total_amount", "billingDate": "billing_date", "checkcode": "check_code", "title": "title"},
+}
 VAT_AMOUNTS = ("total_amount", "tax", "amount_with_tax")
 STOCK_AMOUNTS = ("total", "total2", "total3")
 NO_AMOUNT = "¥ 0.00"
@@ -44,6 +51,12 @@ def assemble(rows: DataFrame, doc: str, seq: str, fields: Mapping[str, str], kin
     return last.select(doc, *(value(label) for label in fields))
 
 
+def plain(docs: DataFrame, rows: DataFrame, doc: str, seq: str, fields: Mapping[str, str], missing: str = "0") -> DataFrame:
+    """A record for each of docs (its ids): the last text of each label as it was read (the greatest of one place); `missing` where there is none, or a null."""
+    last = rows.where(F.col("label").isin(*fields)).groupBy(F.col(doc).alias("__doc")).agg(*(F.max(F.when(F.col("label") == label, F.struct(F.col(seq), "text")))["text"].alias(name) for label, name in fields.items()))
+    return docs.select(doc).join(last, F.col(doc) == F.col("__doc"), "left").select(doc, *(F.coalesce(name, F.lit(missing)).alias(name) for name in fields.values()))
+
+
 def settle_tax(records: DataFrame) -> DataFrame:
     """A tax of 0 becomes total_amount less amount_with_tax; it is negative wherever either amount is."""
     number = lambda c: F.coalesce(F.array_join(F.regexp_extract_all(c, F.lit(r"-?[0-9][0-9]*\.*"), F.lit(0)), "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))

@@ -407,3 +407,70 @@ def q_table_texts(spark, sf_dir):
     row = F.array(F.struct(F.col("role").alias("text")), F.struct(F.when(F.col("turn") % 2 == 0, F.col("role")).alias("text")))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     return rows.select("conv_id", F.array_join(F.transform(t.table_texts(F.col("rows")), lambda r: F.array_join(r, ",")), ";").alias("texts"))
+
+
+#: Running figures of each class over 1,000 confidences, for `of_score` boxes.
+CURVES = f"""{BOXES}, d AS (SELECT cls, (conf + 1) / 13.0::DOUBLE AS c, sum((x1 % 3 = 0)::INT) AS t, count(*) AS m FROM boxes GROUP BY 1, 2), n AS (SELECT cls, sum(m) AS n_true FROM d GROUP BY 1),
+s AS (SELECT cls, c, sum(t) OVER w AS t, sum(m) OVER w AS m FROM d WINDOW w AS (PARTITION BY cls ORDER BY c DESC)), g AS (SELECT k::INT AS k, k / 999.0::DOUBLE AS x FROM range(1000) AS q(k)),
+j AS (SELECT cls, k, x, min(c) FILTER (c >= x) AS a, arg_min(t, c) FILTER (c >= x) AS ta, arg_min(m, c) FILTER (c >= x) AS ma, max(c) FILTER (c < x) AS b, arg_max(t, c) FILTER (c < x) AS tb, arg_max(m, c) FILTER (c < x) AS mb FROM s, g GROUP BY 1, 2, 3),
+v AS (SELECT cls, k, x, n_true, CASE WHEN a IS NULL THEN 1 WHEN b IS NULL THEN ta / ma ELSE ta / ma + (tb / mb - ta / ma) * (a - x) / (a - b) END AS p,
+  CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN ta / n_true ELSE (ta + (tb - ta) * (a - x) / (a - b)) / n_true END AS r FROM j JOIN n USING (cls)),
+f AS (SELECT *, 2 * p * r / (p + r + 1e-16) AS f1 FROM v)"""
+
+
+def score_curves(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("cls", ((F.col("conf") + 1) / 13.0).alias("conf"), (F.col("x1") % 3 == 0).cast("int").alias("tp"))
+    return metrics.score_curves(b, "cls", b.groupBy("cls").agg(F.count("*").alias("n_true")))
+
+
+@query(f"WITH {CURVES} SELECT cls, k, round(x, 6) AS score, round(p, 6) AS \"precision\", round(r, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def q_score_curves(spark, sf_dir):
+    c = score_curves(spark, sf_dir)
+    return c.select("cls", "k", *rounded(score=F.col("score"), precision=F.col("precision"), recall=F.col("recall"), f1=F.col("f1")))
+
+
+@query(f"""WITH {CURVES}, h AS (SELECT k, avg(f1) AS f1 FROM f GROUP BY 1), z AS (SELECT g.k, round(avg(h.f1), 12) AS y FROM g, range(-50, 51) AS o(i) JOIN h ON h.k = greatest(0, least(999, g.k + i)) GROUP BY 1),
+b AS (SELECT k FROM z ORDER BY y DESC, k LIMIT 1) SELECT cls, k, round(p, 6) AS "precision", round(r, 6) AS recall, round_even(r * n_true, 0)::BIGINT AS tp, round_even(round_even(r * n_true, 0) / (p + 1e-16) - round_even(r * n_true, 0), 0)::BIGINT AS fp FROM f JOIN b USING (k)""")
+def q_best_scores(spark, sf_dir):
+    best = metrics.best_scores(score_curves(spark, sf_dir), "cls")
+    return best.select("cls", "k", *rounded(precision=F.col("precision"), recall=F.col("recall")), "tp", "fp")
+
+
+@query("""WITH l AS (SELECT o_custkey::VARCHAR AS file, o_orderkey AS line_no, (o_orderkey % 97) / 100.0::DOUBLE AS s, o_orderkey % 31 AS ms FROM orders),
+e AS (SELECT file, min(line_no) AS first, arg_max(line_no, s * 1000000000 - line_no / 1e9) AS last FROM l GROUP BY 1)
+SELECT file, line_no, ms::DOUBLE AS ms, round(s * 100, 4) AS score FROM l JOIN e USING (file) WHERE line_no > first AND line_no <= last""")
+def q_study_curve(spark, sf_dir):
+    line = F.concat_ws(" ", F.lit("1 2  3"), (F.col("o_orderkey") % 97) / 100.0, F.lit("5 6 7 8"), F.col("o_orderkey") % 31)
+    found = metrics.study_curve(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line")))
+    return found.select("file", "line_no", "ms", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {BOXES}, k AS (SELECT *, (l_partkey % 5 - 2) / 4.0::DOUBLE AS k, y2 - y1 AS h FROM boxes), m AS (SELECT *, h * abs(k) / (1 + k * k) AS dx, h * k * k / (1 + k * k) AS dy FROM k)
+SELECT {OF}, trunc(x1 - CASE WHEN k < 0 THEN dx ELSE 0 END)::INT AS ax, trunc(k * x1 + y1 - h / 2 + CASE WHEN k < 0 THEN dy ELSE 0 END)::INT AS ay, trunc(x2 + CASE WHEN k < 0 THEN 0 ELSE dx END)::INT AS bx, trunc(k * x2 + y1 - h / 2 + CASE WHEN k < 0 THEN 0 ELSE dy END)::INT AS by_,
+  trunc(x2 + CASE WHEN k < 0 THEN dx ELSE 0 END)::INT AS cx, trunc(k * x2 + y1 + h / 2 - CASE WHEN k < 0 THEN dy ELSE 0 END)::INT AS cy, trunc(x1 - CASE WHEN k < 0 THEN 0 ELSE dx END)::INT AS dx, trunc(k * x1 + y1 + h / 2 - CASE WHEN k < 0 THEN 0 ELSE dy END)::INT AS dy FROM m""")
+def q_leaning_corners(spark, sf_dir):
+    slope = (F.col("l_partkey") % 5 - 2) / 4.0
+    found = boxes(spark, sf_dir).select("image_id", *ORDER, g.leaning_corners(F.col("x1"), F.col("x2"), slope, F.col("y1"), F.col("y2") - F.col("y1")).alias("p"))
+    return found.select("image_id", *ORDER, *(F.col("p")[i][j].alias(name) for name, (i, j) in zip(("ax", "ay", "bx", "by_", "cx", "cy", "dx", "dy"), [(i, j) for i in range(4) for j in range(2)], strict=True)))
+
+
+@query(f"WITH {BOXES} SELECT {OF}, x1 || ',' || y1 || ';' || x1 || ',' || y2 || ';' || x2 || ',' || y1 AS corners FROM boxes")
+def q_triangle(spark, sf_dir):
+    p = lambda x, y: g.point(F.col(x), F.col(y))
+    found = g.triangle(F.array(p("x1", "y1"), p("x2", "y1"), p("x1", "y2")))
+    return boxes(spark, sf_dir).select("image_id", *ORDER, F.array_join(F.transform(found, lambda q: F.array_join(q, ",")), ";").alias("corners"))
+
+
+@query(f"WITH {BOXES} SELECT {OF}, dense_rank() OVER (PARTITION BY image_id // 64 ORDER BY image_id) - 1 AS place FROM boxes")
+def q_batch_places(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("batch", F.floor(F.col("image_id") / 64))
+    return ranking.places(b, "batch", "image_id").select("image_id", *ORDER, "place")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey::VARCHAR AS text, l_linenumber % 4 AS label FROM lineitem)
+SELECT o_orderkey, coalesce(a, '0') AS invoice_number, coalesce(b, '0') AS amount, '0' AS ids, coalesce(c, '0') AS billing_date, '0' AS star_station, coalesce(d, '0') AS end_station FROM orders LEFT JOIN
+(SELECT l_orderkey, arg_max(text, {'n': n, 't': text}) FILTER (label = 0) AS a, arg_max(text, {'n': n, 't': text}) FILTER (label = 1) AS b, arg_max(text, {'n': n, 't': text}) FILTER (label = 2) AS c, arg_max(text, {'n': n, 't': text}) FILTER (label = 3) AS d FROM l GROUP BY 1) ON l_orderkey = o_orderkey""")
+def q_older_records(spark, sf_dir):
+    label = F.element_at(F.array(*map(F.lit, ("invoice_number", "totalAmount", "date", "end"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", label.alias("label"), F.col("l_partkey").cast("string").alias("text"))
+    return records.plain(table(spark, sf_dir, "orders"), rows, "o_orderkey", "l_linenumber", records.OLDER["train"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,9 +31,35 @@ def every_nth_stream(stream: DataFrame, source: str, order: list[str], n: int) -
     return stream.groupBy(source).applyInPandasWithState(step, stream.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_latest(stream: DataFrame, source: str, at: str, tie: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps each source's newest row in the table `name` of the session; older rows are replaced and none is queued."""
-    return latest(stream, source, at, tie).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def run_latest(stream: DataFrame, source: str, at: str, tie: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps each source's newest row in a Parquet table under `path`; older rows are replaced and none is queued.
+
+    Each trigger writes the table anew beside the last two, so readers of the last one aren't disturbed
+    and a trigger that is run again writes the same. Nothing passes through the driver; a row per source is kept.
+    """
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        found = [k for k in _epochs(spark, path) if k < epoch]
+        whole = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/epoch={found[-1]}")) if found else batch
+        latest(whole, source, at, tie).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for old in found[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table of run_latest() as the last whole trigger left it."""
+    return spark.read.parquet(f"{path}/epoch={_epochs(spark, path)[-1]}")
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """The triggers whose table is wholly written, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().removeprefix("epoch=")) for f in found or [])
 
 
 def read_stream(spark, path: str, schema) -> DataFrame:

@@ -129,10 +129,14 @@ def test_streams(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(s, start + timedelta(seconds=10 * k + j), 10 * k + j) for s in "ab" for j in range(5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
-    q = sampling.run_latest(sampling.read_stream(spark, str(tmp_path / "in"), batch.schema), "source", "at", "n", "newest", str(tmp_path / "c1"))
+    q = sampling.run_latest(sampling.read_stream(spark, str(tmp_path / "in"), batch.schema), "source", "at", "n", str(tmp_path / "newest"), str(tmp_path / "c1"))
     q.processAllAvailable()
-    assert sorted((r.source, r.n) for r in spark.table("newest").collect()) == [("a", 24), ("b", 24)]
+    assert sorted((r.source, r.n) for r in sampling.read_latest(spark, str(tmp_path / "newest")).collect()) == [("a", 24), ("b", 24)]
+    spark.createDataFrame([("a", start, 99), ("c", start, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    assert sorted((r.source, r.n) for r in sampling.read_latest(spark, str(tmp_path / "newest")).collect()) == [("a", 24), ("b", 24), ("c", 1)]
     q.stop()
+    batch = spark.read.parquet(str(tmp_path / "in"))
     out = sampling.every_nth_stream(sampling.read_stream(spark, str(tmp_path / "in"), batch.schema), "source", ["at"], 4).writeStream.format("memory").queryName("strided").option("checkpointLocation", str(tmp_path / "c2")).start()
     out.processAllAvailable()
     assert sorted(spark.table("strided").collect()) == sorted(sampling.every_nth(batch, "source", ["at"], 4).collect())

@@ -122,3 +122,52 @@ def test_entry_without_what_the_optional_subpackage_needs():
     code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q_row_group' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
+
+
+def test_triangles_and_curves_by_hand(spark):
+    import math
+    import random
+
+    import numpy as np
+
+    from foliant.functions import geometry as g
+    from foliant.operators import metrics
+
+    def direction(x, y):
+        return -90 if x == y == 0 else math.degrees(math.atan2(y, x))
+
+    def corner(p, i):
+        (ax, ay), (bx, by) = [(p[j][0] - p[i][0], p[j][1] - p[i][1]) for j in range(3) if j != i]
+        return math.degrees(abs(math.atan2(ax * by - ay * bx, ax * bx + ay * by)))
+
+    draw = random.Random(3)
+    rows = [[[draw.randint(0, 40) + 0.5, draw.randint(0, 40) + 0.25] for _ in range(3)] for _ in range(300)]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(rows)] + [(300, rows[0][:2]), (301, None)], "k int, p array<array<double>>").select("k", g.triangle(F.col("p")).alias("t"))
+    for r in got.collect():
+        if r.k >= 300:
+            assert r.t is None
+            continue
+        p = [(int(x), int(y)) for x, y in rows[r.k]]
+        first = next((i for i in range(2) if 70 <= corner(p, i) <= 110), 2)
+        rest = sorted((i for i in range(3) if i != first), key=lambda i: direction(p[i][0] - p[first][0], p[first][1] - p[i][1]))
+        assert [tuple(q) for q in r.t] == [p[i] for i in (first, *rest)]
+
+    found = [(c, round(draw.random() * 0.8 + 0.1, 6), int(draw.random() < 0.6)) for c in (1, 2) for _ in range(200)] + [(1, None, 1)]
+    df = spark.createDataFrame(found, "cls int, conf double, tp int")
+    true = spark.createDataFrame([(1, 150), (2, 300), (3, 4)], "cls int, n_true long")
+    curves = metrics.score_curves(df, "cls", true).cache()
+    x, mean = np.linspace(0, 1, 1000), []
+    for c, n in ((1, 150), (2, 300), (3, 4)):
+        own = sorted((-conf, tp) for k, conf, tp in found if k == c and conf is not None)
+        p, r = np.zeros(1000), np.zeros(1000)
+        if own:
+            hits = np.cumsum([tp for _, tp in own])
+            p, r = (np.interp(-x, [conf for conf, _ in own], v, left=at) for v, at in ((hits / np.arange(1, len(own) + 1), 1), (hits / n, 0)))
+        got = sorted((q.k, q.precision, q.recall) for q in curves.where(F.col("cls") == c).collect())
+        assert np.allclose([q[1] for q in got], p) and np.allclose([q[2] for q in got], r)
+        mean.append(2 * p * r / (p + r + 1e-16))
+    mean = np.mean(mean, 0)
+    smooth = np.convolve(np.concatenate([np.full(50, mean[0]), mean, np.full(50, mean[-1])]), np.ones(101) / 101, "valid")
+    best = metrics.best_scores(curves, "cls").collect()
+    assert len(best) == 3 and {q.k for q in best} == {int(np.round(smooth, 12).argmax())}
+    assert metrics.score_curves(df.limit(0), "cls", true.limit(0)).count() == 0
