@@ -51,7 +51,8 @@ BOXES = """boxes AS (SELECT l_orderkey AS image_id, l_linenumber, l_partkey, l_s
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    # Texts are dealt out by document before they are taken apart, so no word is shuffled by itself.
+    words = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     return words.selectExpr("doc_id", "pos AS word_no", "text", "pos % 12 * 50 AS cx", "CAST(pos / 12 AS INT) * 14 + pos % 3 AS cy")
 
 
