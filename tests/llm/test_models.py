@@ -156,6 +156,42 @@ def test_ordinal_classifier(spark):
     assert len(ordinal.sample(df.selectExpr("doc_id", "cast(text as binary) text"), labels, rows=100)) == 100
 
 
+def test_ordinal_scores_word_by_word(spark):
+    """Each row's tails from the model's weights, feature by feature; the fit against a search over all weights."""
+    import math
+    import re
+    import zlib
+
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i + 1))) for i in range(60)] + ODD + [(99, "Ünïcode É wörds é 7x_y! #$% #$%\n" * 3), (98, "CAPS ONLY HERE " * 9)]
+    df, labels = frame(spark, texts), spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    model = ordinal.fit(ordinal.sample(df.selectExpr("doc_id", "cast(text as binary) text"), labels), 3)
+    want = []
+    for i, text in texts:
+        raw = (text or "").encode()
+        found = {zlib.crc32(w.lower()) % ordinal.FEATURES for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)}
+        m = dict(zip(quality_rules.MEASURES, quality_rules.measure(raw), strict=True))
+        n = max(m["n_words"], 1)
+        steps = {"symbols": min(4, 10 * m["n_symbols"] // n), "repeats": min(4, 5 * m["n_repeat_words"] // n), "capitals": int(m["n_upper"] > m["n_lower"]), "lines": min(4, 5 * m["n_dup_lines"] // max(m["n_lines"], 1)), "none": int(not m["n_words"])}
+        found |= {zlib.crc32(f"\0{name}{k}".encode()) % ordinal.FEATURES for name, top in steps.items() for k in range(1, top + 1)}
+        score = math.fsum(float(model.weights[f]) for f in found)
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        want.append((str(i), *(round(x, 6) for x in (sum(tails), *tails)), tails[1] >= 0.5))
+    got = [(str(r.doc_id), *(round(x, 6) for x in (r.expected_grade, *r.tail)), r.kept) for r in ordinal.classify(df, labels).collect()]
+    assert sorted(got) == sorted(want)
+
+    counts = {(0, 0): 60, (0, 1): 30, (0, 2): 10, (1, 0): 20, (1, 1): 40, (1, 2): 40}
+    rows = [(g, np.array([7] if has else [], np.int32)) for (has, g), n in counts.items() for _ in range(n)]
+
+    def loss(w, t1, t2):
+        tail = lambda t, has: 1 / (1 + math.exp(t - w * has))
+        p = {(has, g): (1, tail(t1, has), tail(t2, has), 0)[g] - (1, tail(t1, has), tail(t2, has), 0)[g + 1] for has, g in counts}
+        return -sum(n * math.log(p[k]) for k, n in counts.items()) / 200
+
+    fitted = ordinal.fit(rows, 3)
+    least = min(loss(w, t1, t2) for w in np.arange(0, 3, 0.05) for t1 in np.arange(-1, 2, 0.05) for t2 in np.arange(t1 + 0.05, 4, 0.05))
+    assert loss(fitted.weights[7], *fitted.thresholds) < least + 0.002
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     from tests.conftest import SF
