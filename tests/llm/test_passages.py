@@ -129,3 +129,18 @@ def test_a_mark_that_ten_thousand_documents_have(spark):
     packs = [b for out in passages._scan(8, 4, 50, passages.FLUSH_HOT)([batch]) for d, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist()) if d is None]
     marks = np.concatenate([passages._unpack(b)["mark"] for b in packs])
     assert np.unique(found["mark"], return_counts=True)[1].max() > 9_000 and np.unique(marks, return_counts=True)[1].max() <= passages.FLUSH_HOT
+
+
+def test_copies_of_whole_texts_move_little(spark, sf_dir):
+    def written():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    many = [(d + 1000 * k, t) for k in range(12) for d, t in rows]
+    rest = [(2050, rows[7][1] + "no copy"), (2050, rows[8][1]), (40, rows[8][1])]  # one id, two texts; and one text twice by one id
+    counts = []
+    for corpus in (rows, many + rest):
+        before = written()
+        assert got(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)) == brute(corpus)
+        counts.append(written() - before)
+    assert counts[1] < 8 * counts[0]
