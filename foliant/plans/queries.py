@@ -17,6 +17,8 @@ from foliant.streaming.sampling import every_nth
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
+#: Bytes of a table's files for each partition that its texts are dealt out to before they are taken apart.
+PART = 4 << 20
 
 
 def query(sql: str | None = None):
@@ -52,7 +54,11 @@ BOXES = """boxes AS (SELECT l_orderkey AS image_id, l_linenumber, l_partkey, l_s
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Texts are dealt out by document before they are taken apart, so no word is shuffled by itself.
-    words = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    # A number of partitions by size keeps adaptive execution from joining small ones, whose words would then be sorted in one task's memory.
+    docs = table(spark, sf_dir, "documents")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    words = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     return words.selectExpr("doc_id", "pos AS word_no", "text", "pos % 12 * 50 AS cx", "CAST(pos / 12 AS INT) * 14 + pos % 3 AS cy")
 
 
@@ -146,7 +152,8 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY cy, word_no ROWS UNB
 SELECT doc_id, row_id, count(*) AS n, min(word_no) AS first_word, string_agg(text, ' ' ORDER BY cx, word_no) AS row_text FROM r GROUP BY 1, 2""")
 def q_row_group(spark, sf_dir):
     rows = layout.row_groups(lines(spark, sf_dir), "doc_id", [F.col("word_no")])
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    # By what pos is ranked by, so that words aren't sorted and ranked once more.
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cx", "word_no", "text"))), lambda x: x["text"]), " ")
     return rows.groupBy("doc_id", "row_id").agg(F.count("*").alias("n"), F.min("word_no").alias("first_word"), text.alias("row_text"))
 
 

@@ -171,3 +171,12 @@ def test_triangles_and_curves_by_hand(spark):
     best = metrics.best_scores(curves, "cls").collect()
     assert len(best) == 3 and {q.k for q in best} == {int(np.round(smooth, 12).argmax())}
     assert metrics.score_curves(df.limit(0), "cls", true.limit(0)).count() == 0
+
+
+def test_words_of_a_table_are_no_single_task(spark, sf_dir, monkeypatch):
+    from foliant.plans import queries
+
+    monkeypatch.setattr(queries, "PART", 1 << 14, raising=False)
+    n = [r["count"] for r in queries.lines(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()]
+    plan = QUERIES["q_row_group"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(n) > 8 and plan.count("Sort [") == 1  # words are sorted once
